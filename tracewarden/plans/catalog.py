@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tracewarden.plans import catalog_rows  # noqa: F401
+from tracewarden.plans import catalog_rows, catalog_vectors  # noqa: F401
 from tracewarden.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
