@@ -141,7 +141,7 @@ def embed(
     message.  Rows stay in their partition; nothing is shuffled.
     """
     make = registry.maker(backend, **options) if isinstance(backend, str) else backend
-    schema = T.StructType([f for f in df.schema.fields if f.name not in (out, "error")]).add(out, "array<double>").add("error", "string")
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (out, "error")]).add(out, T.ArrayType(T.DoubleType())).add("error", T.StringType())
     kept = [f for f in schema.fieldNames() if f not in (out, "error")]
 
     def one(worker: Backend, text: str):
@@ -174,7 +174,7 @@ def generate(
 ) -> DataFrame:
     """Adds the answer to each prompt; an error becomes the text ``[Error: ...]``."""
     make = registry.maker(backend, **options) if isinstance(backend, str) else backend
-    schema = T.StructType([f for f in df.schema.fields if f.name != out]).add(out, "string")
+    schema = T.StructType([f for f in df.schema.fields if f.name != out]).add(out, T.StringType())
     kept = [f for f in schema.fieldNames() if f != out]
 
     def one(worker: Backend, prompt: str) -> str:

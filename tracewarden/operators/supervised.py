@@ -127,9 +127,8 @@ def evaluate_classifiers_cv(df: DataFrame, classifiers: dict | None = None, fold
     per_fold = materialize(fold_metrics(predictions, ["model", "fold"]))
     summary = metrics.fold_summary(per_fold, REPORTED, ["model"])
     # one value per fold, so the lists are as short as the fold count
-    lists = per_fold.groupBy("model").agg(*[
-        F.transform(F.sort_array(F.collect_list(F.struct("fold", m))), lambda s, m=m: s[m]).alias(f"{m}_scores") for m in REPORTED
-    ])
+    in_order = F.sort_array(F.collect_list(F.struct("fold", *REPORTED)))
+    lists = per_fold.groupBy("model").agg(in_order.alias("_f")).select("model", *[F.col(f"_f.{m}").alias(f"{m}_scores") for m in REPORTED])
     overall = metrics.ranking_metrics(predictions, ["model"]).select("model", F.col("average_precision").alias("pr_auc"))
     hard = metrics.ranking_metrics(predictions.withColumn("score", F.col("pred").cast("double")), ["model"]).select(
         "model", F.col("average_precision").alias("pr_auc_hard")

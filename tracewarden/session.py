@@ -50,3 +50,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for Python work that costs far more than moving its rows.
+
+    Meant for a plain scan: a large table already has more partitions and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
