@@ -15,7 +15,7 @@ from tracewarden.functions.arrays import clean_vector
 from tracewarden.operators import extra_trees, metrics
 from tracewarden.operators.sampling import SEED, stratified_folds, stratified_split
 from tracewarden.operators.vectors import MAX_COMPONENTS, projection_table, reduce_dimensionality
-from tracewarden.session import materialize
+from tracewarden.session import brief, materialize
 
 logger = logging.getLogger(__name__)
 
@@ -98,8 +98,8 @@ def out_of_fold(df: DataFrame, classifiers: dict | None = None, folds: int = FOL
             parts.append(materialize(table))
             timings.append((name, time.time() - started))
         except Exception as error:  # noqa: BLE001 - one model's failure becomes an error row
-            logger.error("%s failed: %s", name, error)
-            errors[name] = str(error).splitlines()[0]
+            logger.error("%s failed: %s", name, brief(error))
+            errors[name] = brief(error)
     data.unpersist()
     if not parts:
         return None, timings, errors

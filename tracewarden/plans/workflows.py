@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.operators import clustering, detectors, inference, metrics, reasoning, retrieval, sampling, supervised, vectors
 from tracewarden.operators.silhouette import silhouette
-from tracewarden.session import materialize
+from tracewarden.session import brief, materialize
 from tracewarden.sources import loaders, sinks
 
 logger = logging.getLogger(__name__)
@@ -91,7 +91,7 @@ def explain_with_context(train: DataFrame, test: DataFrame, dataset_type: str, s
 
 def _error_row(spark: SparkSession, approach: str, error: Exception, dataset_type: str, nlines: int | None) -> DataFrame:
     return spark.createDataFrame(
-        [(approach, str(error).splitlines()[0] if str(error) else type(error).__name__, dataset_type, nlines)],
+        [(approach, brief(error), dataset_type, nlines)],
         "approach string, error string, dataset_type string, nlines long",
     )
 
@@ -141,7 +141,7 @@ def run_standard(
         parts = materialize(inference.embed(split, "line", options.embedder))
         outcome = _labelled(parts, approach, dataset_type, nlines, options, time.time() - started)
     except Exception as error:  # noqa: BLE001 - the run ends in an error row
-        logger.error("%s failed: %s", approach, error)
+        logger.error("%s failed: %s", approach, brief(error))
         outcome = Outcome(_error_row(spark, f"{approach}_error", error, dataset_type, nlines))
     _save(outcome, approach, options)
     return outcome
@@ -171,7 +171,7 @@ def run_flow_pair(
             })
             outcome.results = rows.unionByName(outcome.results, allowMissingColumns=True)
     except Exception as error:  # noqa: BLE001
-        logger.error("%s failed: %s", approach, error)
+        logger.error("%s failed: %s", approach, brief(error))
         outcome = Outcome(_error_row(spark, f"{approach}_error", error, kind, nlines))
     _save(outcome, approach, options)
     return outcome
@@ -229,7 +229,7 @@ def run_unlabelled(
         if options.results_dir:
             sinks.save_anomaly_data(combined, usable.select("row_id", "embedding"), approach, options.results_dir)
     except Exception as error:  # noqa: BLE001
-        logger.error("%s failed: %s", approach, error)
+        logger.error("%s failed: %s", approach, brief(error))
         outcome = Outcome(_error_row(spark, f"{approach}_unsupervised_error", error, dataset_type, nlines))
     _save(outcome, approach, options)
     return outcome

@@ -52,6 +52,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def brief(error: Exception) -> str:
+    """The one line of an error that says what happened, also when it crossed from a worker."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+    raised = [line for line in lines if line.split(":", 1)[0].endswith(("Error", "Exception")) and ": " in line]
+    return (raised or lines or [type(error).__name__])[-1 if raised else 0]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core, for Python work that costs far more than moving its rows.
 
