@@ -11,14 +11,14 @@ def frame(spark, values, kind="string"):
 
 
 def test_event_tokens_golden(spark):
-    rows = frame(spark, ["[E5, E22,,E11]", "E5,E22", "[]", "[E5", " [ E1 ,\tE2 ] ", "[", "]"])
-    got = [r[0] for r in rows.orderBy("row_id").select(F.array_join(text.event_tokens(F.col("v")), " ")).collect()]
-    assert got == ["E5 E22 E11", "E5 E22", "", "[E5", "E1 E2", "[", "]"]
+    rows = frame(spark, ["[E5, E22,,E11]", "E5,E22", "[]", "[E5", " [ E1 ,\tE2 ] ", "[", "]", ",, a b ,c ,", "[[x],y]"])
+    got = [r[0] for r in rows.orderBy("row_id").select(text.event_line(F.col("v"))).collect()]
+    assert got == ["E5 E22 E11", "E5 E22", "", "[E5", "E1 E2", "[", "]", "a b c", "[x] y"]
 
 
 def test_raw_tokens_golden(spark):
     rows = frame(spark, ["[E5,E22 E1]", "[[a b]]", "[]"])
-    got = [r[0] for r in rows.orderBy("row_id").select(F.array_join(text.raw_tokens(F.col("v")), " ")).collect()]
+    got = [r[0] for r in rows.orderBy("row_id").select(text.raw_line(F.col("v"))).collect()]
     assert got == ["E5,E22 E1", "a b", ""]
 
 

@@ -26,7 +26,7 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip_space(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col, f"^{SPACE}++|{SPACE}++$", "")
 
 
 def null_if_missing(col: Column) -> Column:
@@ -34,18 +34,22 @@ def null_if_missing(col: Column) -> Column:
     return F.when(~col.isin(NULL_TOKENS), col)
 
 
-def event_tokens(col: Column) -> Column:
-    """``[E5, E22,,E11]`` to an array of trimmed, non-empty tokens."""
-    raw = strip_space(col)
-    paired = raw.startswith("[") & raw.endswith("]")
-    body = F.when(paired, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.filter(F.transform(F.split(body, ","), strip_space), lambda token: token != "")
+def event_line(col: Column) -> Column:
+    """``[E5, E22,,E11]`` to ``E5 E22 E11``; the brackets go only as a pair.
+
+    Runs of commas and the space around them separate events, so three replacements over the whole
+    text do what splitting, trimming and joining would do per token.
+    """
+    body = F.regexp_replace(col, rf"(?s)^{SPACE}*+\[(.*)\]{SPACE}*+$", "$1")
+    comma_or_space = SPACE[:-1] + ",]"
+    core = F.regexp_replace(body, f"^{comma_or_space}++|{comma_or_space}++$", "")
+    return F.regexp_replace(core, f"{SPACE}*+,{comma_or_space}*+", " ")
 
 
-def raw_tokens(col: Column) -> Column:
-    """T4: outer brackets off, then split on white space."""
-    body = F.regexp_replace(col, r"^[\[\]]+|[\[\]]+$", "")
-    return F.filter(F.split(body, f"{SPACE}+"), lambda token: token != "")
+def raw_line(col: Column) -> Column:
+    """T4: outer brackets off, then every run of white space to one space."""
+    body = F.regexp_replace(col, r"^[\[\]]++|[\[\]]++$", "")
+    return F.regexp_replace(strip_space(body), f"{SPACE}++", " ")
 
 
 def trace_label(col: Column) -> Column:

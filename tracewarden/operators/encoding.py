@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewarden.session import materialize
+
 IDENTIFIER_COLUMNS = ["id", "srcip", "sport", "dstip", "dsport", "stime", "ltime", "sttl", "dttl", "ct_state_ttl"]
 TEXT_VIEW_DROPS = ["id", "sttl", "dttl", "ct_state_ttl"]
 TEXT_VIEW_CATEGORIES = ["proto", "service", "state"]
@@ -53,11 +55,12 @@ def category_codes(df: DataFrame, columns: list[str], null_word: str) -> DataFra
 def ordinal_encode(df: DataFrame, columns: list[str], null_word: str, codes: DataFrame | None = None) -> DataFrame:
     """Replace each string column by its code; ``codes`` fitted elsewhere may be passed in.
 
-    The code table joins like any other: Spark broadcasts it when it is small and shuffles when not.
+    The code table is written once and read per column; its size on disk then tells Spark whether
+    to broadcast it.
     """
     if not columns:
         return df
-    table = codes if codes is not None else category_codes(df, columns, null_word)
+    table = codes if codes is not None else materialize(category_codes(df, columns, null_word))
     out = df
     for c in columns:
         one = table.where(F.col("column_name") == c).select(
@@ -112,16 +115,15 @@ def enrich_tokens(
         keyed = df.withColumn("_one", F.lit(1)).join(F.broadcast(lookup.withColumn("_one", F.lit(1))), "_one")
         words = F.transform(tokens, lambda t: F.coalesce(F.col("_map")[t], t))
         return keyed.withColumn(line_col, F.array_join(words, " ")).select(*df.columns)
-    exploded = df.select(id_col, F.posexplode(tokens).alias("_pos", "_token"))
+    exploded = df.select(*df.columns, F.posexplode_outer(tokens).alias("_pos", "_token"))
     known = templates.select(F.col("EventId").alias("_token"), F.col("EventTemplate").alias("_template"))
-    rebuilt = (
+    words = F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_template", "_token").alias("_word"))))
+    others = [c for c in df.columns if c not in (id_col, line_col)]
+    # the tokens of one line make one group, so the list is as long as the line
+    return (
         exploded.join(known, "_token", "left")
         .groupBy(id_col)
-        .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_template", "_token").alias("_word")))).alias("_w"))
-        .select(F.col(id_col).alias("_id"), F.array_join(F.transform("_w", lambda s: s["_word"]), " ").alias("_line"))
-    )
-    return (
-        df.join(rebuilt, F.col(id_col) == F.col("_id"), "left")
-        .withColumn(line_col, F.coalesce("_line", F.lit("")))
+        .agg(words.alias("_words"), *[F.any_value(c).alias(c) for c in others])
+        .withColumn(line_col, F.array_join(F.transform("_words", lambda s: s["_word"]), " "))
         .select(*df.columns)
     )

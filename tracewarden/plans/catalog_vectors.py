@@ -199,8 +199,8 @@ def dbscan_plane(spark, sf_dir):
 
 @query(DBSCAN_SQL.format(eps="0.012", needed="4"))
 def dbscan_fine(spark, sf_dir):
-    """A small radius: many clusters, border rows and noise."""
-    return dbscan.dbscan(materialize(clustering.plane(plane(spark, sf_dir))), 0.012, 4)
+    """A small radius, hence many clusters, border rows and noise; on the grid, the path for large tables."""
+    return dbscan.dbscan(materialize(clustering.plane(plane(spark, sf_dir))), 0.012, 4, local_points=0)
 
 
 @query()

@@ -107,14 +107,10 @@ def load_event_traces(
     skip_missing = options.get("skip_missing_labels", True)
     if skip_missing:
         rows = rows.where(F.col("Label").isNotNull() & F.col("Features").isNotNull())
-    parse = text.event_tokens if options.get("parse_features", True) else text.raw_tokens
-    tokens = parse(F.col("Features"))
-    parsed = rows.select(
-        "row_id", F.col("Features").isNull().alias("_absent"), tokens.alias("_tokens"),
-        text.trace_label(F.col("Label")).alias("label"),
-    )
-    line = F.when(F.col("_absent"), F.lit("missing")).otherwise(F.array_join("_tokens", " "))
-    out = parsed.where(F.col("_absent") | (F.size("_tokens") > 0)).select("row_id", line.alias("line"), "label")
+    parse = text.event_line if options.get("parse_features", True) else text.raw_line
+    # a trace without events parses to the empty line and is dropped
+    line = F.when(F.col("Features").isNull(), F.lit("missing")).otherwise(parse(F.col("Features")))
+    out = rows.select("row_id", line.alias("line"), text.trace_label(F.col("Label")).alias("label")).where(F.col("line") != "")
     if options.get("enable_semantic_enrichment") and options.get("templates") is not None:
         return encoding.enrich_tokens(out, "line", options["templates"])
     return out
