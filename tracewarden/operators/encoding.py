@@ -83,18 +83,16 @@ def min_max_scale(df: DataFrame, columns: list[str], bounds: DataFrame | None =
     """Each column to [0, 1]; a constant column becomes 0."""
     if not columns:
         return df
-    row = bounds if bounds is not None else min_max_bounds(df, columns)
-    # one aggregate row, attached by a constant key
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one")
+    row = (bounds if bounds is not None else min_max_bounds(df, columns)).first()
     scaled = []
     for c in df.columns:
         if c in columns:
-            lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-            value = F.when(hi == lo, F.lit(0.0)).otherwise((F.col(c).cast("double") - lo) / (hi - lo))
-            scaled.append(F.when(F.col(c).isNull(), F.lit(None).cast("double")).otherwise(value).alias(c))
+            lo, hi = row[f"_lo_{c}"], row[f"_hi_{c}"]
+            value = F.lit(0.0) if lo == hi or lo is None else (F.col(c).cast("double") - F.lit(lo)) / F.lit(hi - lo)
+            scaled.append(F.when(F.col(c).isNotNull(), value).alias(c))
         else:
             scaled.append(F.col(c))
-    return joined.select(*scaled)
+    return df.select(*scaled)
 
 
 def string_columns(df: DataFrame, skip: list[str]) -> list[str]:
@@ -110,11 +108,12 @@ def enrich_tokens(
     table is joined on the exploded tokens and each line is rebuilt by token position.
     """
     tokens = F.filter(F.split(F.col(line_col), r"\s+"), lambda t: t != "")
-    if templates.limit(map_limit + 1).count() <= map_limit:
-        lookup = templates.agg(F.map_from_entries(F.collect_list(F.struct("EventId", "EventTemplate"))).alias("_map"))
-        keyed = df.withColumn("_one", F.lit(1)).join(F.broadcast(lookup.withColumn("_one", F.lit(1))), "_one")
-        words = F.transform(tokens, lambda t: F.coalesce(F.col("_map")[t], t))
-        return keyed.withColumn(line_col, F.array_join(words, " ")).select(*df.columns)
+    few = templates.select("EventId", "EventTemplate").limit(map_limit + 1).collect()
+    if len(few) <= map_limit:
+        if not few:
+            return df.withColumn(line_col, F.array_join(tokens, " "))
+        lookup = F.create_map(*[F.lit(x) for pair in few for x in pair])
+        return df.withColumn(line_col, F.array_join(F.transform(tokens, lambda t: F.coalesce(lookup[t], t)), " "))
     exploded = df.select(*df.columns, F.posexplode_outer(tokens).alias("_pos", "_token"))
     known = templates.select(F.col("EventId").alias("_token"), F.col("EventTemplate").alias("_template"))
     words = F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_template", "_token").alias("_word"))))

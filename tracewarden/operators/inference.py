@@ -275,10 +275,8 @@ def tfidf_terms(df: DataFrame, text_col: str = "line", id_col: str = "row_id") -
     """
     words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
     tf = df.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1)).join(
-        F.broadcast(n.withColumn("_one", F.lit(1))), "_one"
-    ).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    n = df.count()
+    idf = tf.groupBy("term").agg((F.log(F.lit(n + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
     raw = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = raw.groupBy(F.col(id_col).alias("_id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     return raw.join(length, F.col(id_col) == F.col("_id")).select(id_col, "term", (F.col("w") / F.col("len")).alias("weight"))

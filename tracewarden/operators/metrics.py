@@ -84,7 +84,11 @@ def ranking_metrics(
         {"pos": F.when(y == 1, 1).otherwise(0), "neg": F.when(y == 1, 0).otherwise(1)}, by,
     )
     sizes = table.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    keyed = table.withColumn("_one", F.lit(1)).join(sizes.withColumn("_one", F.lit(1)), [*by, "_one"])
+    if by:
+        keyed = table.join(sizes, by)
+    else:
+        total = sizes.first()
+        keyed = table.withColumns({c: F.lit(total[c] or 0) for c in ("n_pos", "n_neg")})
     hits_from = F.col("n_pos") - F.col("pos_below")
     rows_from = hits_from + F.col("n_neg") - F.col("neg_below")
     return keyed.groupBy(*by).agg(
@@ -182,9 +186,11 @@ def davies_bouldin(df: DataFrame, cluster_col: str = "cluster_id", vec_col: str
         .groupBy("c").agg(F.avg("d").alias("s"))
         .join(centroids, "c")
     )
-    # every centroid against the packed list of all centroids: cluster-sized, not row-sized
-    packed = spread.agg(F.collect_list(F.struct("c", "s", "m")).alias("others"), F.count(F.lit(1)).alias("k"))
-    keyed = spread.withColumn("_one", F.lit(1)).join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one")
+    # every centroid beside the list of all centroids: cluster-sized, not row-sized
+    all_clusters = Window.partitionBy(F.lit(0))
+    keyed = spread.select(
+        "*", F.collect_list(F.struct("c", "s", "m")).over(all_clusters).alias("others"), F.count(F.lit(1)).over(all_clusters).alias("k")
+    )
     worst = F.array_max(F.transform(
         F.filter("others", lambda o: o["c"] != F.col("c")),
         lambda o: F.when(_distance(o["m"], F.col("m")) > 0, (o["s"] + F.col("s")) / _distance(o["m"], F.col("m"))).otherwise(F.lit(0.0)),

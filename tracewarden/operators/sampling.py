@@ -27,11 +27,11 @@ def hash_rank(
     """
     by_cols = [by] if by else []
     keyed = df.withColumn("_hash", hash_key(id_col, seed)).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, hex_digits), 16, 10).cast("int")
+        "_bucket", F.substring("_hash", 1, hex_digits)
     )
     before = Window.partitionBy(*by_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.select(*by_cols, F.conv(F.substring(hash_key(id_col, seed), 1, hex_digits), 16, 10).cast("int").alias("_bucket"))
+        df.select(*by_cols, F.substring(hash_key(id_col, seed), 1, hex_digits).alias("_bucket"))
         .groupBy(*by_cols, "_bucket").count()
         .select(
             *[F.col(c).alias(f"_by_{c}") for c in by_cols], F.col("_bucket").alias("_b"),
@@ -39,7 +39,8 @@ def hash_rank(
         )
     )
     inside = Window.partitionBy(*by_cols, "_bucket").orderBy("_hash", id_col)
-    condition = F.col("_bucket") == F.col("_b")
+    # null-safe, or the optimizer would filter on the hash first and compute it twice
+    condition = F.col("_bucket").eqNullSafe(F.col("_b"))
     for c in by_cols:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     return (
@@ -135,38 +136,25 @@ def pick_reasoning_rows(
 ) -> DataFrame:
     """The first anomalies, then the first normals by position; the first rows if there are neither.
 
-    Only ``max_samples + normal_samples + fallback`` rows can ever come out, so each class is cut
-    by a top-k sort (bounded per task) instead of a window over the class.
+    At most ``max_samples + normal_samples`` rows come out, so each class is cut by a top-k sort
+    (bounded per task) instead of a window over the class.
     """
     totals = df.agg(
         F.count_if(F.col(flag_col) == 1).alias("total_anomalies"),
         F.count_if(F.col(flag_col) == 0).alias("total_normals"),
     )
-    sizes = reasoning_sample_sizes(totals, anomaly_percentage, min_samples, max_samples, normal_samples)
+    size = reasoning_sample_sizes(totals, anomaly_percentage, min_samples, max_samples, normal_samples).first()
+    anomalies, normals = size["anomaly_samples"], size["normal_samples"]
 
     def first(rows: DataFrame, limit: int, group: int) -> DataFrame:
         return rows.orderBy(id_col).limit(limit).withColumn("_group", F.lit(group))
 
-    picked = (
-        first(df.where(F.col(flag_col) == 1), max_samples, 0)
-        .unionByName(first(df.where(F.col(flag_col) == 0), normal_samples, 1))
-        .unionByName(first(df, fallback, 2))
-        .withColumn("_place", F.row_number().over(Window.partitionBy("_group").orderBy(id_col)))
-    )
-    allowed = (
-        F.when(F.col("_group") == 0, F.col("anomaly_samples"))
-        .when(F.col("_group") == 1, F.col("normal_samples"))
-        .when(F.col("anomaly_samples") + F.col("normal_samples") == 0, F.lit(fallback))
-        .otherwise(F.lit(0))
-    )
-    # `sizes` is one aggregate row; the constant key keeps this an equi-join
-    keyed = picked.withColumn("_one", F.lit(1)).join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one")
-    order = Window.partitionBy("_one").orderBy("_group", id_col)
-    return (
-        keyed.where(F.col("_place") <= allowed)
-        .withColumn("sample_order", F.row_number().over(order) - 1)
-        .select(*df.columns, "sample_order", "anomaly_samples", "normal_samples")
-    )
+    if anomalies + normals == 0:
+        picked = first(df, fallback, 0)
+    else:
+        picked = first(df.where(F.col(flag_col) == 1), anomalies, 0).unionByName(first(df.where(F.col(flag_col) == 0), normals, 1))
+    order = Window.partitionBy(F.lit(0)).orderBy("_group", id_col)  # a handful of rows
+    return picked.withColumn("sample_order", F.row_number().over(order) - 1).select(*df.columns, "sample_order")
 
 
 def union_parts(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from tracewarden.functions.arrays import clean_vector
 from tracewarden.operators import extra_trees, metrics
 from tracewarden.operators.sampling import SEED, stratified_folds, stratified_split
 from tracewarden.operators.vectors import MAX_COMPONENTS, projection_table, reduce_dimensionality
-from tracewarden.session import brief, materialize
+from tracewarden.session import brief, materialize, side_by_side
 
 logger = logging.getLogger(__name__)
 
@@ -169,8 +169,7 @@ def evaluate_extratrees_cv(df: DataFrame, n_splits: int = FOLDS, multi_class: bo
     spread = metrics.class_distribution(base).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("cls", "n"))), lambda s: s["n"]).alias("class_distribution")
     )
-    one = lambda d: d.withColumn("_one", F.lit(1))  # noqa: E731 - three one-row tables side by side
-    return one(summary).join(one(facts), "_one").join(one(spread), "_one").drop("_one").withColumns({
+    return side_by_side(summary, facts, spread).withColumns({
         "prediction_time_per_sample_us": F.lit(seconds * 1e6) / F.col("n_samples"), "n_splits": F.lit(n_splits),
         "classifier": F.lit("ExtraTreesClassifier"), "n_estimators": F.lit(trees),
         "classification_type": F.lit("multiclass" if multi_class else "binary"),

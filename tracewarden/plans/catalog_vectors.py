@@ -12,7 +12,7 @@ from tracewarden.plans.catalog_rows import fixed
 from tracewarden.plans.inputs import PLANE_SQL, VECTORS_SQL, plane, vectors
 from tracewarden.plans.registry import query, table
 from tracewarden.plans.workflows import unsupervised_result
-from tracewarden.session import materialize
+from tracewarden.session import materialize, side_by_side
 
 EDGES_SQL = """pairs AS (SELECT a.row_id AS query_id, b.row_id AS neighbor_id, list_distance(a.embedding, b.embedding) AS distance
   FROM vectors a, vectors b WHERE a.row_id <> b.row_id),
@@ -279,7 +279,6 @@ def detect_and_summarise(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     rate = vec.estimate_contamination(rows)
     flagged = materialize(detectors.detect(rows, "LocalOutlierFactor", rate))
-    counts = metrics.detection_counts(flagged).withColumn("_one", F.lit(1))
-    spread = metrics.score_statistics(flagged).withColumn("_one", F.lit(1))
+    row = side_by_side(metrics.detection_counts(flagged), metrics.score_statistics(flagged))
     names = ["contamination", "anomaly_ratio", "score_mean", "score_std", "score_median", "score_separation"]
-    return counts.join(spread, "_one").withColumn("contamination", F.lit(rate)).select("num_samples", "num_anomalies", *fixed(names))
+    return row.withColumn("contamination", F.lit(rate)).select("num_samples", "num_anomalies", *fixed(names))

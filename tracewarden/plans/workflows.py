@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.operators import clustering, detectors, inference, metrics, reasoning, retrieval, sampling, supervised, vectors
 from tracewarden.operators.silhouette import silhouette
-from tracewarden.session import brief, materialize
+from tracewarden.session import brief, materialize, side_by_side
 from tracewarden.sources import loaders, sinks
 
 logger = logging.getLogger(__name__)
@@ -191,9 +191,7 @@ def unsupervised_result(
         silhouette(tagged), metrics.davies_bouldin(tagged), metrics.embedding_statistics(tagged).select("embedding_dim"),
         votes.agg(F.count_distinct("method").alias("num_methods_used")),
     ]
-    row = pieces[0].withColumn("_one", F.lit(1))
-    for piece in pieces[1:]:  # one-row tables side by side
-        row = row.join(piece.withColumn("_one", F.lit(1)), "_one")
+    row = side_by_side(*pieces)
     number = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
     result = row.select(
         F.lit(f"{approach}_unsupervised_llm").alias("approach"), F.lit(dataset_type).alias("dataset_type"),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,6 +60,17 @@ def brief(error: Exception) -> str:
     return (raised or lines or [type(error).__name__])[-1 if raised else 0]
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each, as one table of one row."""
+    values: list = []
+    schema = T.StructType()
+    for df in rows:
+        values += list(df.first())
+        for field in df.schema.fields:
+            schema = schema.add(field.name, field.dataType, True)
+    return rows[0].sparkSession.createDataFrame([tuple(values)], schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core, for Python work that costs far more than moving its rows.
 
