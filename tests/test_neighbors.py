@@ -48,6 +48,14 @@ def test_knn_between_two_tables(vectors):
     assert rows(got) == brute(a, b, 5)
 
 
+def test_corpus_too_large_to_send(vectors, monkeypatch):
+    from tracewarden.operators import neighbors
+    x = np.random.default_rng(5).normal(size=(80, 3))
+    df = vectors(x)
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", 10)
+    assert rows(knn_join(df, df, 4)) == brute(x, x, 4, exclude_self=True)
+
+
 def test_unknown_metric(vectors):
     df = vectors(np.eye(3))
     with pytest.raises(ValueError):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -278,5 +278,6 @@ def tfidf_terms(df: DataFrame, text_col: str = "line", id_col: str = "row_id") -
     n = df.count()
     idf = tf.groupBy("term").agg((F.log(F.lit(n + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
     raw = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    length = raw.groupBy(F.col(id_col).alias("_id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, F.col(id_col) == F.col("_id")).select(id_col, "term", (F.col("w") / F.col("len")).alias("weight"))
+    # one document's distinct terms make one window, bounded by its length
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", (F.col("w") / length).alias("weight"))

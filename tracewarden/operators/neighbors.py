@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 512
 CHUNK_CELLS = 4_000_000
-EDGE_SCHEMA = "query_id long, neighbor_id long, distance double"
+BROADCAST_BYTES = 64 << 20  # a corpus of one block and no more than this goes to every task
+EDGE_SCHEMA = "query_id long, neighbor_id long, rank int, distance double"
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -77,14 +78,20 @@ def block_top_k(q_ids, q_vecs, c_ids, c_vecs, k: int, metric: str, exclude_self:
         firsts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1] if len(qi) else np.array([], dtype=int)
         place = np.arange(len(qi)) - np.repeat(firsts, np.diff(np.r_[firsts, len(qi)]))
         keep = place < k
-        parts.append(pd.DataFrame({"query_id": ids_q[keep], "neighbor_id": ids_c[keep], "distance": dist[keep]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
+        parts.append(pd.DataFrame({
+            "query_id": ids_q[keep], "neighbor_id": ids_c[keep], "rank": place[keep] + 1, "distance": dist[keep],
+        }))
+    return pd.concat(parts) if parts else _no_edges()
+
+
+def _no_edges() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "neighbor_id": [], "rank": [], "distance": []})
 
 
 def _block_function(k: int, metric: str, exclude_self: bool):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
+            return _no_edges()
         return block_top_k(
             left["id"].to_numpy(), _stack(left["v"]), right["id"].to_numpy(), _stack(right["v"]), k, metric, exclude_self,
         )
@@ -170,20 +177,28 @@ def knn_join(
     q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     c = limit_copies(c, k + 1)
-    n_corpus = c.count()
-    if n_corpus <= block_rows:
-        # the corpus is one bounded block: give every query block a copy of it
-        n_queries = q.count()
-        blocks = max(1, -(-n_queries // block_rows))
-        left = q.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        right = c.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        edges = left.groupBy("_b").cogroup(right.groupBy("_b")).applyInPandas(_block_function(k, metric, exclude_self), EDGE_SCHEMA)
-    else:
-        edges = _pruned_edges(q, c, n_corpus, k, metric, exclude_self, block_rows)
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
+    if size["n"] <= block_rows and size["n"] * size["d"] * 8 <= BROADCAST_BYTES:
+        return _edges_to_broadcast(q, c, k, metric, exclude_self)
+    edges = _pruned_edges(q, c, size["n"], k, metric, exclude_self, block_rows)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return edges.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "distance")
 
 
+def _edges_to_broadcast(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    """A corpus of checked size is sent to every task; queries stay where they are, nothing is shuffled."""
+    rows = c.toPandas()
+    state = q.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _stack(rows["v"])))
+
+    def run(batches):
+        ids, corpus = state.value
+        for pdf in batches:
+            if len(pdf) and len(ids):
+                yield block_top_k(pdf["id"].to_numpy(), _stack(pdf["v"]), ids, corpus, k, metric, exclude_self)
+
+    return q.mapInPandas(run, EDGE_SCHEMA)
+
+
 def _pruned_edges(q, c, n_corpus: int, k: int, metric: str, exclude_self: bool, block_rows: int) -> DataFrame:
     sc = q.sparkSession.sparkContext
     if metric == "cosine":  # on unit vectors the Euclidean order is the cosine order

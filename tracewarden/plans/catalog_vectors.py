@@ -9,10 +9,11 @@ from tracewarden.operators import vectors as vec
 from tracewarden.operators.neighbors import knn_join
 from tracewarden.operators.silhouette import silhouette
 from tracewarden.plans.catalog_rows import fixed
-from tracewarden.plans.inputs import PLANE_SQL, VECTORS_SQL, plane, vectors
+from tracewarden.plans.inputs import PLANE_SQL, VECTORS_SQL, flows, plane, vectors
 from tracewarden.plans.registry import query, table
 from tracewarden.plans.workflows import unsupervised_result
 from tracewarden.session import materialize, side_by_side
+from tracewarden.sources.loaders import load_unsw_nb15_unlabeled
 
 EDGES_SQL = """pairs AS (SELECT a.row_id AS query_id, b.row_id AS neighbor_id, list_distance(a.embedding, b.embedding) AS distance
   FROM vectors a, vectors b WHERE a.row_id <> b.row_id),
@@ -107,6 +108,13 @@ def detect_isolation_forest(spark, sf_dir):
     return detectors.detect(vectors(spark, sf_dir), "IsolationForest", 0.1)
 
 
+@query()
+def isolation_forest_on_flows(spark, sf_dir):
+    """More rows than all tree samples together: every sampled row goes to one tree."""
+    rows = load_unsw_nb15_unlabeled(spark, flows(spark, sf_dir)).select("row_id", F.col("features").alias("embedding"))
+    return detectors.detect(rows, "IsolationForest", 0.05)
+
+
 @query()
 def detect_one_class_svm(spark, sf_dir):
     return detectors.detect(vectors(spark, sf_dir), "OneClassSVM", 0.1)
