@@ -111,7 +111,7 @@ def detect_isolation_forest(spark, sf_dir):
 @query()
 def isolation_forest_on_flows(spark, sf_dir):
     """More rows than all tree samples together: every sampled row goes to one tree."""
-    rows = load_unsw_nb15_unlabeled(spark, flows(spark, sf_dir)).select("row_id", F.col("features").alias("embedding"))
+    rows = materialize(load_unsw_nb15_unlabeled(spark, flows(spark, sf_dir)).select("row_id", F.col("features").alias("embedding")))
     return detectors.detect(rows, "IsolationForest", 0.05)
 
 
