@@ -22,11 +22,15 @@ LABEL_CODES = {"Success": 0, "Normal": 0, "Fail": 1, "Anomaly": 1}
 # Columns joined into one log line, in this order.
 LOG_LINE_COLUMNS = ["Date", "Time", "Level", "Component", "Content"]
 
+# The same class for the JVM: printable ASCII is ruled out by one comparison before the ranges are tried.
+BLANK = rf"[[^\x{{0021}}-\x{{007E}}]&&{SPACE}]"
+COMMA_OR_BLANK = f"[,{BLANK}]"
+
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip_space(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{SPACE}++|{SPACE}++$", "")
+    return F.regexp_replace(col, f"^{BLANK}++|{BLANK}++$", "")
 
 
 def null_if_missing(col: Column) -> Column:
@@ -40,16 +44,15 @@ def event_line(col: Column) -> Column:
     Runs of commas and the space around them separate events, so three replacements over the whole
     text do what splitting, trimming and joining would do per token.
     """
-    body = F.regexp_replace(col, rf"(?s)^{SPACE}*+\[(.*)\]{SPACE}*+$", "$1")
-    comma_or_space = SPACE[:-1] + ",]"
-    core = F.regexp_replace(body, f"^{comma_or_space}++|{comma_or_space}++$", "")
-    return F.regexp_replace(core, f"{SPACE}*+,{comma_or_space}*+", " ")
+    body = F.regexp_replace(col, rf"(?s)^{BLANK}*+\[(.*)\]{BLANK}*+$", "$1")
+    core = F.regexp_replace(body, f"^{COMMA_OR_BLANK}++|{COMMA_OR_BLANK}++$", "")
+    return F.regexp_replace(core, f"{BLANK}*+,{COMMA_OR_BLANK}*+", " ")
 
 
 def raw_line(col: Column) -> Column:
     """T4: outer brackets off, then every run of white space to one space."""
     body = F.regexp_replace(col, r"^[\[\]]++|[\[\]]++$", "")
-    return F.regexp_replace(strip_space(body), f"{SPACE}++", " ")
+    return F.regexp_replace(strip_space(body), f"{BLANK}++", " ")
 
 
 def trace_label(col: Column) -> Column:
@@ -62,7 +65,7 @@ def trace_label(col: Column) -> Column:
 
 def clean_template(col: Column) -> Column:
     """Wildcard marks out, runs of white space to one space."""
-    return strip_space(F.regexp_replace(F.regexp_replace(col, r"\[\*\]", ""), f"{SPACE}+", " "))
+    return strip_space(F.regexp_replace(F.regexp_replace(col, r"\[\*\]", ""), f"{BLANK}++", " "))
 
 
 def to_number(col: Column, dtype: T.DataType) -> Column:
@@ -125,10 +128,10 @@ def _dissect(sci: Column) -> Column:
 def float_text(col: Column) -> Column:
     """Shortest round-trip text of a double: ``0.5``, ``1e-05``, ``12345678.0``.
 
-    Short plain decimals take the cast as it is.  The rest is laid out from 16 significant
+    Numbers of two decimals take the cast as it is.  The rest is laid out from 16 significant
     digits where these give the value back, else from 17.
     """
-    plain = col.cast("string")
+    two_decimals = (F.rint(col * 100.0) / 100.0 == col) & (F.abs(col) < 1e7)
     short = F.format_string("%.15e", col)
     laid_out = _bind(
         F.when(short.try_cast("double") == col, short).otherwise(F.format_string("%.16e", col)),
@@ -138,7 +141,7 @@ def float_text(col: Column) -> Column:
         F.when(F.isnan(col), F.lit("nan"))
         .when(col == float("inf"), F.lit("inf"))
         .when(col == float("-inf"), F.lit("-inf"))
-        .when((F.length(plain) <= 16) & ~plain.contains("E"), plain)
+        .when(two_decimals, col.cast("string"))
         .otherwise(laid_out)
     )
 
@@ -155,7 +158,12 @@ def render_row(df: DataFrame, columns: list[str], unify_numbers: bool) -> Column
     parts = []
     for name in columns:
         col = F.col(name)
-        if all_float or isinstance(kinds[name], floats):
+        if isinstance(kinds[name], floats):
+            text = float_text(col.cast("double"))
+        elif all_float and isinstance(kinds[name], T.IntegralType):
+            exact = F.abs(col.cast("double")) < 1e15
+            text = F.when(exact, F.concat(col.cast("string"), F.lit(".0"))).otherwise(float_text(col.cast("double")))
+        elif all_float:
             text = float_text(col.cast("double"))
         else:
             text = col.cast("string")

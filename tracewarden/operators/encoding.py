@@ -28,17 +28,16 @@ def label_from_category(col: Column) -> Column:
 def category_codes(df: DataFrame, columns: list[str], null_word: str) -> DataFrame:
     """Rank of every distinct string per column, from 0: ``(column_name, value, code)``.
 
-    The distinct values of all columns come from one aggregation; ranks are places inside a
+    Each column is read alone, so a columnar source is read once in all.  Ranks are places inside a
     prefix bucket plus the sizes of the buckets before it, so no task sorts a whole column.
     """
-    pairs = df.select(
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(c).cast("string"), F.lit(null_word)).alias("value"))
-                for c in columns
-            ])
-        ).alias("p")
-    ).select("p.*").distinct()
+    found = [
+        df.select(F.coalesce(F.col(c).cast("string"), F.lit(null_word)).alias("value")).distinct().select(F.lit(c).alias("column_name"), "value")
+        for c in columns
+    ]
+    pairs = found[0]
+    for other in found[1:]:
+        pairs = pairs.unionByName(other)
     prefix = F.substring("value", 1, 2)
     keyed = pairs.withColumn("_prefix", prefix)
     sizes = keyed.groupBy("column_name", "_prefix").count()

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewarden.session import materialize
+
 
 class Backend:
     """What a backend offers; a subclass overrides what it can do."""
@@ -204,7 +206,6 @@ def embed_with_fallback(df: DataFrame, text_col: str, backends: list[str | Calla
     Adds ``backend_attempt`` (1-based) and ``fallback_used``.  Each pass touches only the rows the
     passes before left open.
     """
-    from tracewarden.session import materialize
     todo, done = df, []
     for attempt, backend in enumerate(backends, start=1):
         tried = embed(todo, text_col, backend, out=out).withColumn("backend_attempt", F.lit(attempt)).withColumn(
@@ -274,7 +275,7 @@ def tfidf_terms(df: DataFrame, text_col: str = "line", id_col: str = "row_id") -
     document before the document frequency is joined, so a frequent term costs one row per document.
     """
     words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
-    tf = df.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialize(df.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     n = df.count()
     idf = tf.groupBy("term").agg((F.log(F.lit(n + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
     raw = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))

@@ -88,13 +88,15 @@ def ranking_metrics(
         keyed = table.join(sizes, by)
     else:
         total = sizes.first()
-        keyed = table.withColumns({c: F.lit(total[c] or 0) for c in ("n_pos", "n_neg")})
+        keyed = table.withColumns({c: F.lit(total[c] or 0).cast("long") for c in ("n_pos", "n_neg")})
+    # products of counts outgrow a long, so they are taken as doubles
+    pos = F.col("pos").cast("double")
     hits_from = F.col("n_pos") - F.col("pos_below")
     rows_from = hits_from + F.col("n_neg") - F.col("neg_below")
     return keyed.groupBy(*by).agg(
-        ratio(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.max("n_pos").cast("double") * F.max("n_neg")).alias("roc_auc"),
-        F.when(F.max("n_neg") * F.max("n_pos") == 0, F.lit(0.0)).otherwise(
-            ratio(F.sum(F.col("pos") * hits_from / rows_from), F.max("n_pos"))
+        ratio(F.sum(pos * (F.col("neg_below") + F.col("neg") / 2)), F.max("n_pos").cast("double") * F.max("n_neg")).alias("roc_auc"),
+        F.when(F.least(F.max("n_neg"), F.max("n_pos")) == 0, F.lit(0.0)).otherwise(
+            ratio(F.sum(pos * (hits_from / rows_from)), F.max("n_pos"))
         ).alias("average_precision"),
         F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
     )

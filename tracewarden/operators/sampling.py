@@ -78,7 +78,7 @@ def stratified_split(
     quota = (
         sizes.withColumn("n_all", F.sum("n_class").over(everything))
         .withColumn("n_test", F.ceil(F.col("n_all") * F.lit(test_size)))
-        .withColumn("share", F.col("n_class") * F.col("n_test") / F.col("n_all"))
+        .withColumn("share", F.col("n_class").cast("double") * F.col("n_test") / F.col("n_all"))
         .withColumn("base", F.floor("share"))
         .withColumn("spare", F.col("n_test") - F.sum("base").over(everything))
         .withColumn(
@@ -114,7 +114,7 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
     sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
     return sizes.select(
         label_col, "n_class",
-        (F.sum("n_class").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n_class"))).alias("weight"),
+        (F.sum("n_class").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n_class").cast("double"))).alias("weight"),
     )
 
 

@@ -10,6 +10,7 @@ from tracewarden.operators import inference, reasoning, retrieval
 from tracewarden.plans.catalog_rows import fixed
 from tracewarden.plans.inputs import ANSWERS_SQL, VECTORS_SQL, answers, vectors
 from tracewarden.plans.registry import query, table
+from tracewarden.session import spread
 
 WORDS_SQL = f"""words AS (SELECT doc_id AS row_id, unnest(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda t: t <> '')) AS token FROM documents),
 slots AS (SELECT row_id, CAST(('0x' || md5(token)[1:7]) AS BIGINT) % 64 AS j, CASE WHEN CAST(('0x' || md5(token)[8:8]) AS INTEGER) < 8 THEN 1 ELSE -1 END AS s FROM words),
@@ -28,7 +29,7 @@ def filled_sql(template: str, **columns: str) -> str:
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("line"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("line")))
 
 
 @query(f"""WITH {WORDS_SQL} SELECT row_id, CAST(j AS INTEGER) AS j, round(v / sqrt(sum(v * v) OVER (PARTITION BY row_id)), 9) AS x FROM cells WHERE v <> 0""")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.operators import clustering, detectors, inference, metrics, reasoning, retrieval, sampling, supervised, vectors
 from tracewarden.operators.silhouette import silhouette
-from tracewarden.session import brief, materialize, side_by_side
+from tracewarden.session import brief, materialize, side_by_side, spread
 from tracewarden.sources import loaders, sinks
 
 logger = logging.getLogger(__name__)
@@ -138,7 +138,7 @@ def run_standard(
         lines = loaders.load_dataset(spark, source, dataset_type, nlines, preprocessing)
         split = materialize(sampling.stratified_split(lines))
         started = time.time()
-        parts = materialize(inference.embed(split, "line", options.embedder))
+        parts = materialize(inference.embed(spread(split), "line", options.embedder))
         outcome = _labelled(parts, approach, dataset_type, nlines, options, time.time() - started)
     except Exception as error:  # noqa: BLE001 - the run ends in an error row
         logger.error("%s failed: %s", approach, brief(error))
@@ -160,7 +160,7 @@ def run_flow_pair(
         both = sampling.union_parts(train, test)
         lines = materialize(both.withColumn("row_id", F.col("row_id") * 2 + (F.col("split") == "test").cast("int")))
         started = time.time()
-        parts = materialize(inference.embed(lines, "line", options.embedder))
+        parts = materialize(inference.embed(spread(lines), "line", options.embedder))
         outcome = _labelled(parts, approach, kind, nlines, options, time.time() - started)
         if baseline is not None:
             rows = baseline.withColumns({
@@ -212,7 +212,7 @@ def run_unlabelled(
     try:
         lines = materialize(loaders.load_dataset_unlabeled(spark, source, dataset_type, nlines).select("row_id", "line"))
         started = time.time()
-        data = materialize(inference.embed(lines, "line", options.embedder))
+        data = materialize(inference.embed(spread(lines), "line", options.embedder))
         seconds = time.time() - started
         usable = data.where(F.col("embedding").isNotNull())
         result, combined, votes, clusters = unsupervised_result(usable, approach, dataset_type, contamination)

@@ -110,7 +110,9 @@ def load_event_traces(
     parse = text.event_line if options.get("parse_features", True) else text.raw_line
     # a trace without events parses to the empty line and is dropped
     line = F.when(F.col("Features").isNull(), F.lit("missing")).otherwise(parse(F.col("Features")))
-    out = rows.select("row_id", line.alias("line"), text.trace_label(F.col("Label")).alias("label")).where(F.col("line") != "")
+    # the generator computes the line once; a filter on it would be pushed down and parse twice
+    kept = F.explode(F.filter(F.array(line), lambda found: found != ""))
+    out = rows.select("row_id", kept.alias("line"), text.trace_label(F.col("Label")).alias("label"))
     if options.get("enable_semantic_enrichment") and options.get("templates") is not None:
         return encoding.enrich_tokens(out, "line", options["templates"])
     return out
