@@ -303,12 +303,9 @@ def unlabelled_verdicts(spark, sf_dir):
     return found.select("row_id", "prediction", "anomaly_status", "detected_as_anomaly")
 
 
-@query(f"""WITH {ANSWERS_SQL} SELECT row_id, sample_idx, CASE WHEN regexp_matches(lower(line), 'error|fail|exception|timeout|corrupt') THEN 'ANOMALY' ELSE 'NORMAL' END AS verdict FROM answers
-WHERE line NOT LIKE '%' || chr(10) || chr(10) || '%'""")
+@query(f"""WITH {ANSWERS_SQL} SELECT row_id, sample_idx, CASE WHEN regexp_matches(lower(line), 'error|fail|exception|timeout|corrupt') THEN 'ANOMALY' ELSE 'NORMAL' END AS verdict FROM answers""")
 def generated_verdicts(spark, sf_dir):
-    """Prompts answered by the deterministic stand-in (records with a blank line are quoted only in part)."""
-    rows = answers(spark, sf_dir).where(~F.col("line").contains("\n\n"))
-    asked = rows.withColumn("prompt", reasoning.standard_prompt(F.col("line"), "eventtraces"))
-    return inference.generate(asked, "prompt", "rules", out="answer").select(
+    """Whole records put to the deterministic stand-in."""
+    return inference.generate(answers(spark, sf_dir), "line", "rules", out="answer").select(
         "row_id", "sample_idx", reasoning.verdict(F.col("answer")).alias("verdict")
     )
