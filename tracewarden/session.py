@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = getattr(context, "_tracewarden_scratch", None)
     if folder is None:
         folder = tempfile.mkdtemp(prefix="tracewarden-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context._tracewarden_scratch = folder
     return folder
 
@@ -50,7 +53,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more; other tables stay."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def brief(error: Exception) -> str:
