@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import packing, token_store
+from tracewarden.llm import extraction, imatch, mixing, multi_index, packing, simhash, token_store, url_filter
 from tracewarden.llm.common import table
 from tracewarden.session import scratch_dir
 
@@ -42,3 +42,77 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), PACK_END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return imatch.compare_with_edit(docs, imatch.build_lexicon(docs))
+
+
+@query()
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule FROM parts)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("""
+WITH RECURSIVE sizes AS (
+  SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source),
+sums AS (SELECT sum(size) AS all_size, CAST(count(*) FILTER (WHERE size > 0) AS DOUBLE) AS all_weight FROM sizes),
+rates AS (
+  SELECT source, CASE WHEN size > 0 THEN all_size * 1.0 / (all_weight * size) ELSE 1.0 END AS rate FROM sizes, sums),
+parts AS (SELECT source, rate, greatest(CAST(ceil(rate / 16.0) AS INTEGER), 1) AS parts FROM rates),
+terms AS (
+  SELECT source, rate / parts AS part_rate, 0 AS k, exp(-(rate / parts)) AS p, exp(-(rate / parts)) AS c FROM parts
+  UNION ALL
+  SELECT source, part_rate, k + 1, p * part_rate / (k + 1), c + p * part_rate / (k + 1) FROM terms WHERE k < 120),
+cells AS (
+  SELECT source, k, lag(c, 1, -1.0) OVER (PARTITION BY source ORDER BY k) AS low, CASE WHEN k = 120 THEN 2.0 ELSE c END AS high FROM terms),
+draws AS (
+  SELECT d.doc_id, d.source, p.rate, i.i,
+         (CAST('0x' || substr(md5('42|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || i.i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u,
+         row_number() OVER () AS row_no
+  FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, p.parts + 1)) AS i(i)),
+counts AS (
+  SELECT w.doc_id, w.source, w.rate, sum(c.k) AS n
+  FROM draws w JOIN cells c ON w.source IS NOT DISTINCT FROM c.source AND w.u > c.low AND w.u <= c.high
+  GROUP BY w.doc_id, w.source, w.rate)
+SELECT doc_id, source, rate, copy, md5('order|42|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy) AS shuffle_key
+FROM counts, unnest(range(1, CAST(n AS BIGINT) + 1)) AS r(copy)""")
+def op8_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.replicate(docs.select("doc_id", "source"), mixing.rates(docs))
+    return mixed.select("doc_id", "source", "rate", "copy", "shuffle_key").orderBy("shuffle_key", "doc_id", "copy")
+
+
+@query()
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
