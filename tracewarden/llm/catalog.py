@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import extraction, imatch, mixing, multi_index, packing, simhash, token_store, url_filter
+from tracewarden.llm import extraction, imatch, mixing, multi_index, packing, simhash, suffix_dedup, token_store, url_filter
 from tracewarden.llm.common import table
 from tracewarden.session import scratch_dir
 
@@ -113,6 +113,12 @@ def op8_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "rate", "copy", "shuffle_key").orderBy("shuffle_key", "doc_id", "copy")
 
 
+@query()
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))

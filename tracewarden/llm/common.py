@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import sys
 import types as python_types
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewarden.session import scratch_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,3 +38,12 @@ def rows_in_chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20,
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null counts as empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder in a dense codec and read back; ``discard`` drops it."""
+    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
