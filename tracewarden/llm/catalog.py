@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import extraction, imatch, mixing, multi_index, packing, simhash, suffix_dedup, token_store, url_filter
+from tracewarden.llm import extraction, imatch, mixing, multi_index, packing, simhash, suffix_dedup, token_store, toxicity, url_filter
 from tracewarden.llm.common import table
 from tracewarden.session import scratch_dir
 
@@ -31,6 +31,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query()
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"

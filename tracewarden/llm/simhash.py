@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import text_bytes
-from tracewarden.operators.components import connected_components
-from tracewarden.session import discard, materialize
+from tracewarden.llm.common import store, text_bytes
+from tracewarden.session import discard
 
 SHINGLE_WORDS, HASH_SEED, MAX_BITS = 4, 42, 4
 GROUP_LIMIT, DEAL_LEVELS = 20_000, 4
 FAN_OUT, QUERY_CHUNK = 16, 256
+LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def fingerprint(text: bytes) -> int:
@@ -47,14 +47,18 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed long; null texts count as empty."""
+    """``(place, check, fp)``: id (a null one comes last), hash of the text, fingerprint as a signed long; null texts count as empty."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in text_bytes(batch.column(1))], "<u8").view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in text_bytes(batch.column(2))], "<u8").view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps)], ["place", "check", "fp"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(rows, "doc_id long, fp long")
+    picked = docs.select(*_place_and_check(), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(rows, "place long, check long, fp long")
+
+
+def _place_and_check() -> list:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("check")]
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -206,7 +210,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROU
         if not large.limit(1).count():
             ready.append(dealt)
             break
-        large = materialize(large)
+        large = store(large)
         ready.append(dealt.join(large, "key", "left_anti"))
         rows = dealt.join(large, "key", "left_semi")
     grouped = ready[0].select("key", "fp")
@@ -215,31 +219,65 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROU
     return grouped.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars(max_bits), "a long, b long")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` for every node of ``edges`` (a, b): the smallest node that its links reach.
+
+    Rounds of two star steps: each node's larger neighbours are linked to its smallest neighbour, then each node's
+    smaller neighbours among themselves to the smallest.  Every round is written out, and the one before dropped.
+    """
+    links_ = store(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    sign = None
+    while True:
+        both = links_.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(links_.select(F.col("v").alias("x"), F.col("u").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        fresh = store(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        now = fresh.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("v", "u"))).first()
+        discard(links_)
+        links_ = fresh
+        if now == sign:
+            break
+        sign = now
+    # each link now leads to a root
+    return links_.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        links_.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _classes(docs: DataFrame, max_bits: int, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Marked rows, and ``(fp, root, low)``: the class of each fingerprint and the smallest id place in it."""
+    marked = store(fingerprints(docs))
+    distinct = store(marked.groupBy("fp").agg(F.min("place").alias("first_place")))
+    roots = components(links(distinct, max_bits, group_limit))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_place", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first_place").alias("low"))
+    classes = store(rooted.select("fp", "root").join(lowest, "root"))
+    discard(distinct)
+    return marked, classes
+
+
 def near_copies(docs: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: the smallest doc_id that chains of near fingerprints reach.
 
-    Every row of ``docs`` (doc_id, text) gives a row.  Texts without words have fingerprint zero and are linked like any
-    other; rows with a null doc_id take part, and a component of such rows alone has a null id.
+    Every row of ``docs`` (doc_id, text) gives a row, repeated rows too.  Texts without words have fingerprint zero and are
+    linked like any other; rows with a null doc_id take part, and a component of such rows alone has a null id.  An
+    empty table gives no rows.
     """
-    marked = materialize(fingerprints(docs))
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    edges = materialize(links(distinct, max_bits, group_limit).distinct())
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    roots = connected_components(nodes, edges, local_edges=0)
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    classes = materialize(rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id"))
-    discard(edges, distinct, roots)
+    marked, classes = _classes(docs, max_bits, group_limit)
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return marked.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        known("place").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), known("low").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: one with the smallest doc_id, null ones being the largest.
 
-    Rows that repeat that doc_id are copies of one document; one of them stays (equal rows do not differ in content).
-    Rows without a doc_id cannot be told apart from others and stay.
+    Of rows that share this doc_id the one with the smallest text hash stays, and one of rows that share that too.
     """
-    chosen = near_copies(docs, **options).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    marked, classes = _classes(docs, max_bits, group_limit)
+    chosen = marked.join(classes, "fp").where(F.col("place") == F.col("low")).groupBy("root").agg(
+        F.first("low").alias("_place"), F.min("check").alias("_check")).select("_place", "_check")
+    place, check = _place_and_check()
+    keyed = docs.withColumns({"_place": place, "_check": check})
+    return keyed.join(chosen, ["_place", "_check"], "left_semi").dropDuplicates(["_place", "_check"]).select(*docs.columns)

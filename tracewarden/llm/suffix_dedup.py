@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewarden.llm.common import rows_in_chunks, store
 from tracewarden.llm.induced_sort import repeated_starts
@@ -31,6 +32,7 @@ from tracewarden.session import discard
 LENGTH, WINDOW = 200, 32  # bytes of a repeated string, bytes of a hashed window inside it
 SHARD_BYTES = 8 << 20
 MULTIPLIER = 0xD6E8FEB86659FD93
+CUT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_spans", T.LongType())])
 
 
 def window_hashes(data: np.ndarray, window: int) -> np.ndarray:
@@ -239,7 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     return result
 
 
-@F.pandas_udf("struct<kept: binary, n_spans: long>")
+@F.pandas_udf(CUT)
 def cut_out(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
     """The bytes outside the spans, and how many separate runs they cover."""
     kept, n = [], []
@@ -286,6 +288,6 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     return done.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _readable(data: pd.Series) -> pd.Series:
     return data.map(lambda b: b.decode("utf-8", "ignore"))
