@@ -13,19 +13,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import rows_in_chunks
+from tracewarden.llm.common import rows_in_chunks, worker_state
 
 TERM = re.compile(r"\w+")
-SUBSETS, DIGITS = 32, 6
+SUBSETS, DIGITS = 24, 6
 LOW_SHARE, HIGH_SHARE = 0.0005, 0.1
 EMPTY = "-" * DIGITS
 
@@ -43,7 +43,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 counts.update(set(TERM.findall((text.as_py() or "").lower())))
-                if len(counts) > 400_000:
+                if len(counts) > 200_000:
                     yield out()
         yield out()
 
@@ -61,34 +61,41 @@ def build_lexicon(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SH
     return sorted(r.term for r in band.select("term").toLocalIterator())
 
 
+def term_depths(term: str, subsets: int) -> bytes:
+    """One byte per subset: the term is in the subset at all levels up to that depth."""
+    bits = np.frombuffer(hashlib.shake_128(term.encode()).digest(4 * subsets), "<u4")
+    return np.minimum(32 - np.frexp(bits.astype(np.float64))[1], 31).astype(np.uint8).tobytes()
+
+
 class Lexicon:
-    """For each term its depth in every subset: a term is in a subset at all levels up to its depth there."""
+    """Terms with their depths in every subset."""
 
-    def __init__(self, terms: list[str], subsets: int = SUBSETS):
-        self.subsets = subsets
-        self.depths = {t: self.depth(t) for t in terms}
+    def __init__(self, depths: dict[str, bytes], subsets: int = SUBSETS):
+        self.subsets, self.depths = subsets, depths
 
-    def depth(self, term: str) -> bytes:
-        bits = np.frombuffer(hashlib.shake_128(term.encode("utf-8", "surrogatepass")).digest(4 * self.subsets), "<u4")
-        return np.minimum(32 - np.ceil(np.log2(bits.astype(np.float64) + 1)), 31).astype(np.uint8).tobytes()
+    @classmethod
+    def of(cls, terms: list[str], subsets: int = SUBSETS) -> Lexicon:
+        return cls({t: term_depths(t, subsets) for t in terms}, subsets)
 
     def fingerprint(self, text: str) -> str:
         found = set(TERM.findall(text.lower()))
-        terms = sorted(found.intersection(self.depths))
+        terms = sorted(t for t in found if t in self.depths)
         mark = ""
         if terms:
-            depths = np.frombuffer(b"".join([self.depths[t] for t in terms]), np.uint8).reshape(len(terms), -1)
+            depths = np.frombuffer(b"".join([self.depths[t] for t in terms]), np.uint8)
         else:
             mark, terms = "w", sorted(found) or [text]
-            depths = np.frombuffer(b"".join([self.depth(t) for t in terms]), np.uint8).reshape(len(terms), -1)
+            depths = np.frombuffer(b"".join([term_depths(t, self.subsets) for t in terms]), np.uint8)
+        depths = np.ascontiguousarray(depths.reshape(len(terms), -1).T)
         level = len(terms).bit_length() - 1
         parts = []
         for each in (level, level + 1):
-            inside = (depths >= each).T
+            inside: list[list[str]] = [[] for _ in range(self.subsets)]
+            subset, term = np.nonzero(depths >= each)
+            for s, t in zip(subset.tolist(), term.tolist()):  # in the order of the sorted terms
+                inside[s].append(terms[t])
             signatures = [
-                hashlib.blake2b(" ".join(compress(terms, row)).encode("utf-8", "surrogatepass"), digest_size=DIGITS // 2).hexdigest() if some else EMPTY
-                for row, some in zip(inside.tolist(), inside.any(axis=1).tolist())
-            ]
+                hashlib.blake2b(" ".join(own).encode(), digest_size=DIGITS // 2).hexdigest() if own else EMPTY for own in inside]
             parts.append(f"{mark}{each}:" + "".join(signatures))
         return "|".join(parts)
 
@@ -119,6 +126,15 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - cut] + following[:cut]
 
 
+def _kept_lexicon(shared) -> Lexicon:
+    depths, name = shared.value
+    kept = worker_state().__dict__.setdefault("lexicon", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = Lexicon(depths)
+    return kept[name]
+
+
 def compare_with_edit(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row of ``docs``.
 
@@ -144,10 +160,12 @@ def compare_with_edit(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     borrowed = docs.join(lend, "place").select("doc_id", "text", "place", F.col("to_run").alias("run"), F.lit(1).alias("borrowed"))
     rows = docs.select("doc_id", "text", "place", "run", F.lit(0).alias("borrowed")).unionByName(borrowed)
     dealt = rows.repartition(runs, "run").sortWithinPartitions("run", "borrowed", F.desc("place"), "text").select("run", "borrowed", "doc_id", "text")
+    own_lexicon = Lexicon.of(lexicon)
+    shared = spark.sparkContext.broadcast((own_lexicon.depths, uuid.uuid4().hex))  # bounded: see build_lexicon
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Lexicon(lexicon)
+        words = _kept_lexicon(shared)
         waiting = None  # (run, doc_id, text, fingerprint) of the row whose next one has not come
         for batch in batches:
             for part in rows_in_chunks([batch]):
