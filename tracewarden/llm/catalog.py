@@ -104,13 +104,12 @@ cells AS (
   SELECT source, k, lag(c, 1, -1.0) OVER (PARTITION BY source ORDER BY k) AS low, CASE WHEN k = 120 THEN 2.0 ELSE c END AS high FROM terms),
 draws AS (
   SELECT d.doc_id, d.source, p.rate, i.i,
-         (CAST('0x' || substr(md5('42|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || i.i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u,
-         row_number() OVER () AS row_no
-  FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, p.parts + 1)) AS i(i)),
+         (CAST('0x' || substr(md5('42|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || i.i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u, d.row_no
+  FROM (SELECT doc_id, source, row_number() OVER () AS row_no FROM documents) d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, p.parts + 1)) AS i(i)),
 counts AS (
   SELECT w.doc_id, w.source, w.rate, sum(c.k) AS n
   FROM draws w JOIN cells c ON w.source IS NOT DISTINCT FROM c.source AND w.u > c.low AND w.u <= c.high
-  GROUP BY w.doc_id, w.source, w.rate)
+  GROUP BY w.row_no, w.doc_id, w.source, w.rate)
 SELECT doc_id, source, rate, copy, md5('order|42|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy) AS shuffle_key
 FROM counts, unnest(range(1, CAST(n AS BIGINT) + 1)) AS r(copy)""")
 def op8_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
