@@ -71,3 +71,18 @@ def test_lof_golden(vectors):
 def test_lof_with_fewer_rows_than_neighbors(vectors):
     df = vectors(np.array([[0.0], [1.0], [3.0]]))
     assert local_outlier_factor(df, 20).where(F.col("lof").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("block", [10_000, 4])
+@pytest.mark.parametrize("own", [True, False])
+def test_cosine_with_zero_vectors(vectors, block, own):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(20, 4)), np.zeros((5, 4)), rng.normal(size=(1, 4)) * 1e6])
+    got = {}
+    for r in knn_join(vectors(x), vectors(x), 3, "cosine", exclude_self=own, block_rows=block).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"]))
+    norms = np.linalg.norm(x, axis=1)
+    for i in range(len(x)):
+        distance = [1 - float(x[i] @ x[j]) / (norms[i] * norms[j]) if norms[i] * norms[j] else 1.0 for j in range(len(x))]
+        want = sorted((round(d, 12), j) for j, d in enumerate(distance) if not own or j != i)[:3]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want], i

@@ -44,10 +44,44 @@ def test_template_golden(spark):
 
 @pytest.mark.parametrize("limit", [256, 0])
 def test_enrichment_both_ways(spark, limit):
-    lines = spark.createDataFrame([(0, "E1 E2 E9"), (1, "E2"), (2, "")], "row_id long, line string")
-    known = spark.createDataFrame([("E1", "open"), ("E2", "close it")], "EventId string, EventTemplate string")
-    got = {r["row_id"]: r["line"] for r in encoding.enrich_tokens(lines, "line", known, map_limit=limit).collect()}
-    assert got == {0: "open close it E9", 1: "close it", 2: ""}
+    lines = spark.createDataFrame([(0, "E1 E2 E9"), (1, "E2"), (2, ""), (3, None), (1, "E1"), (1, "E1")], "row_id long, line string")
+    known = spark.createDataFrame([("E1", "open"), ("E2", "close it"), ("E2", "a")], "EventId string, EventTemplate string")
+    got = [tuple(r) for r in encoding.enrich_tokens(lines, "line", known, map_limit=limit).collect()]
+    want = [(0, "open close it E9"), (1, "close it"), (1, "open"), (1, "open"), (2, ""), (3, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_quantiles_both_ways(spark, limit):
+    from tracewarden.operators.ranking import quantiles
+
+    rows = spark.createDataFrame([(x,) for x in [3.0, 1.0, None, 2.0, 4.0, 4.0, None]], "v double")
+    assert quantiles(rows, "v", [0, 0.25, 0.5, 0.9, 1], in_plan_limit=limit) == [1.0, 2.0, 3.0, 4.0, 4.0]
+    mixed = rows.unionByName(spark.createDataFrame([(float("nan"),), (float("nan"),)], "v double"))
+    got = quantiles(mixed, "v", [0, 0.5, 1], in_plan_limit=limit)
+    assert got[:2] == [1.0, 4.0] and got[2] != got[2]
+    assert all(x != x for x in quantiles(rows.where("v > 9"), "v", [0.5], in_plan_limit=limit))
+
+
+def test_csv_types_are_found(spark, tmp_path):
+    path = tmp_path / "flows.csv"
+    path.write_text("id,spkts,rate,proto,gap,label\n" + "".join(f"{i},{p},{p / 4},tcp,{g},{i % 2}\n" for i, (p, g) in enumerate([(2, 1), (10, ""), (100, 3)])))
+    typed = loaders.read_csv(spark, str(path), infer_types=True)
+    assert dict(typed.dtypes) | {"row_id": "bigint"} == {"id": "bigint", "spkts": "bigint", "rate": "double", "proto": "string", "gap": "double", "label": "bigint", "row_id": "bigint"}
+    scaled = loaders.load_unsw_nb15_cleaned(spark, str(path)).orderBy("row_id").collect()
+    assert [round(r["features"][0], 4) for r in scaled] == [0.0, 0.0816, 1.0]
+    whole = tmp_path / "whole.csv"
+    whole.write_text("a,b,label\n0,1,0\n2,3,1\n")
+    assert [r["line"] for r in loaders.load_unsw_nb15(spark, str(whole)).orderBy("row_id").collect()] == ["0 1", "2 3"]
+
+
+def test_csv_with_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,z\n')
+    got = loaders.read_csv(spark, str(path), multi_line=True).orderBy("row_id").collect()
+    assert [(r["a"], r["b"]) for r in got] == [("1", "x\ny"), ("2", "z")]
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        loaders.read_csv(spark, str(path)).collect()
 
 
 def test_codes_golden(spark):

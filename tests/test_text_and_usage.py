@@ -140,13 +140,22 @@ def test_embedding_kinds(spark):
 def test_tfidf_two_ways(spark):
     rows = spark.createDataFrame([(0, "alpha beta beta"), (1, "alpha gamma")], "row_id long, line string")
     model = inference.fit_tfidf(rows)
-    wide = {r["row_id"]: sorted(round(x, 9) for x in r["embedding"] if x) for r in model.transform(rows).collect()}
+    wide = {r["row_id"]: sorted(round(x, 9) for x in r["embedding"]["values"]) for r in model.transform(rows).collect()}
+    assert model.size == 3 and {r["embedding"]["size"] for r in model.transform(rows).collect()} == {3}
     long: dict = {0: [], 1: []}
     for r in inference.tfidf_terms(rows).collect():
         long[r["row_id"]].append(round(r["weight"], 9))
     assert wide == {k: sorted(v) for k, v in long.items()}
 
 
+def test_tfidf_awkward_texts(spark):
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, "x ! ?"), (3, " ".join(f"w{i}" for i in range(9000)))], "row_id long, line string")
+    model = inference.fit_tfidf(rows)
+    got = {r["row_id"]: r["embedding"] for r in model.transform(rows).collect()}
+    assert model.size == 9000 and [len(got[i]["indices"]) for i in range(4)] == [0, 0, 0, 9000]
+    assert got[3]["indices"] == list(range(9000))
+
+
 # ------------------------------------------------------------------ whole runs
 
 

@@ -99,29 +99,32 @@ def string_columns(df: DataFrame, skip: list[str]) -> list[str]:
 
 
 def enrich_tokens(
-    df: DataFrame, line_col: str, templates: DataFrame, id_col: str = "row_id", map_limit: int = MAP_LIMIT,
+    df: DataFrame, line_col: str, templates: DataFrame, map_limit: int = MAP_LIMIT,
 ) -> DataFrame:
     """Replace every known event id in a line by its template, other tokens stay.
 
     Up to ``map_limit`` templates travel as one map and lines never leave their partition.  A larger
-    table is joined on the exploded tokens and each line is rebuilt by token position.
+    table is joined on the exploded tokens and each line is rebuilt by token position.  Both give the same rows: a null
+    line stays null, rows that share an id stay apart, of several templates for an id the largest counts.
     """
     tokens = F.filter(F.split(F.col(line_col), r"\s+"), lambda t: t != "")
-    few = templates.select("EventId", "EventTemplate").limit(map_limit + 1).collect()
+    few = templates.groupBy("EventId").agg(F.max("EventTemplate").alias("EventTemplate")).limit(map_limit + 1).collect()
     if len(few) <= map_limit:
         if not few:
             return df.withColumn(line_col, F.array_join(tokens, " "))
         lookup = F.create_map(*[F.lit(x) for pair in few for x in pair])
         return df.withColumn(line_col, F.array_join(F.transform(tokens, lambda t: F.coalesce(lookup[t], t)), " "))
-    exploded = df.select(*df.columns, F.posexplode_outer(tokens).alias("_pos", "_token"))
-    known = templates.select(F.col("EventId").alias("_token"), F.col("EventTemplate").alias("_template"))
+    # a number for each row, since rows may share an id; it is fixed before the rows are dealt out
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    exploded = numbered.select("_row", *df.columns, F.posexplode_outer(tokens).alias("_pos", "_token"))
+    known = templates.groupBy(F.col("EventId").alias("_token")).agg(F.max("EventTemplate").alias("_template"))
     words = F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_template", "_token").alias("_word"))))
-    others = [c for c in df.columns if c not in (id_col, line_col)]
+    others = [F.any_value(c).alias(c) for c in df.columns if c != line_col]
     # the tokens of one line make one group, so the list is as long as the line
     return (
         exploded.join(known, "_token", "left")
-        .groupBy(id_col)
-        .agg(words.alias("_words"), *[F.any_value(c).alias(c) for c in others])
-        .withColumn(line_col, F.array_join(F.transform("_words", lambda s: s["_word"]), " "))
+        .groupBy("_row")
+        .agg(words.alias("_words"), F.any_value(line_col).alias("_line"), *others)
+        .withColumn(line_col, F.when(F.col("_line").isNotNull(), F.array_join(F.transform("_words", lambda s: s["_word"]), " ")))
         .select(*df.columns)
     )

@@ -12,9 +12,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -234,27 +231,49 @@ def embedding_metadata(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
 # --------------------------------------------------------------------------- TF-IDF
 
 
+WORDS = r"[a-z0-9_]{2,}"
+
+
+def _term_counts(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """``(id, term, tf)``: words of two or more letters or digits, lower case."""
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(WORDS), F.lit(0))
+    return df.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 class TfIdfModel:
-    """Fitted vocabulary and weights; ``transform`` gives unit-length vectors."""
+    """Every fitted term with its number in alphabetical order and its weight; ``transform`` gives sparse unit vectors.
 
-    def __init__(self, counts: CountVectorizerModel, scale: ElementwiseProduct, tokenizer: RegexTokenizer):
-        self.counts, self.scale, self.tokenizer = counts, scale, tokenizer
+    The terms are a table of their own, so neither their number nor their size is limited by one machine.
+    """
+
+    def __init__(self, terms: DataFrame, size: int, text_col: str):
+        self.terms, self.size, self.text_col = terms, size, text_col
 
-    def transform(self, df: DataFrame, out: str = "embedding") -> DataFrame:
-        tokens = self.tokenizer.transform(df)
-        weighted = self.scale.transform(self.counts.transform(tokens))
-        unit = Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0).transform(weighted)
-        return unit.withColumn(out, vector_to_array("_unit")).drop("_tokens", "_tf", "_tfidf", "_unit")
+    def transform(self, df: DataFrame, out: str = "embedding", id_col: str = "row_id") -> DataFrame:
+        """Adds ``out``: struct of ``size``, ``indices`` (rising) and ``values``; a text without known words has no entries."""
+        weighed = _term_counts(df, self.text_col, id_col).join(self.terms, "term").select(
+            id_col, F.struct(F.col("term_id").alias("i"), (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
+        # the distinct terms of one text make one group
+        entries = weighed.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list("e")).alias("_e"))
+        length = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+        vector = F.struct(
+            F.lit(self.size).cast("long").alias("size"), F.coalesce(F.transform("_e", lambda e: e["i"]), F.array().cast("array<long>")).alias("indices"),
+            F.coalesce(F.transform("_e", lambda e: e["w"] / length), F.array().cast("array<double>")).alias("values"))
+        return df.join(entries, F.col(id_col) == F.col("_id"), "left").withColumn(out, vector).drop("_id", "_e")
 
 
-def fit_tfidf(df: DataFrame, text_col: str = "line", vocab_size: int = 4096) -> TfIdfModel:
-    """Words of two or more letters or digits, lower case; weight = tf * (ln((n+1)/(df+1)) + 1)."""
-    tokenizer = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[A-Za-z0-9_]{2,}", gaps=False)
-    tokens = tokenizer.transform(df)
-    counts = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=vocab_size).fit(tokens)
-    idf = IDF(inputCol="_tf", outputCol="_unused").fit(counts.transform(tokens)).idf
-    scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense(idf.toArray() + 1.0))
-    return TfIdfModel(counts, scale, tokenizer)
+def fit_tfidf(df: DataFrame, text_col: str = "line") -> TfIdfModel:
+    """Weight of a term = tf * (ln((n+1)/(df+1)) + 1) over all terms of all texts."""
+    n = df.count()
+    found = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(WORDS), F.lit(0)))).alias("term"))
+    weighed = found.groupBy("term").agg((F.log(F.lit(n + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
+    ordered = materialize(weighed.repartitionByRange("term").sortWithinPartitions("term").select(
+        "term", "idf", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    terms = ordered.join(offsets, "_part").select("term", "idf", (F.col("_at") + F.col("_shift")).alias("term_id"))
+    return TfIdfModel(terms, ordered.count(), text_col)
 
 
 def embed_texts(df: DataFrame, text_col: str = "line", embedding_type: str = "backend", vectorizer: TfIdfModel | None = None, **options) -> DataFrame:
@@ -274,8 +293,7 @@ def tfidf_terms(df: DataFrame, text_col: str = "line", id_col: str = "row_id") -
     Weight = tf * (ln((n+1)/(df+1)) + 1), scaled to unit length per document.  Terms are counted per
     document before the document frequency is joined, so a frequent term costs one row per document.
     """
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
-    tf = materialize(df.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = materialize(_term_counts(df, text_col, id_col))
     n = df.count()
     idf = tf.groupBy("term").agg((F.log(F.lit(n + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
     raw = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewarden.session import materialize
+
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 512
 CHUNK_CELLS = 4_000_000
@@ -54,20 +56,22 @@ def block_top_k(q_ids, q_vecs, c_ids, c_vecs, k: int, metric: str, exclude_self:
     """
     if metric == "l2":
         qa, ca = q_vecs, c_vecs
-    else:
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        q_sq, c_sq = np.einsum("ij,ij->i", qa, qa), np.einsum("ij,ij->i", ca, ca)
+    else:  # a zero vector stays zero: its product is 0 and its distance 1, as the exact one
+        unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
         qa, ca = unit(q_vecs), unit(c_vecs)
-    c_sq = np.einsum("ij,ij->i", ca, ca)
-    scale = float(max(c_sq.max(initial=0.0), np.einsum("ij,ij->i", qa, qa).max(initial=0.0)))
-    slack = 1e-10 * max(scale, 1e-300)
+        q_sq, c_sq = np.full(len(qa), 0.5), np.full(len(ca), 0.5)
     take = min(k + (1 if exclude_self else 0), len(c_ids))
     step = max(1, CHUNK_CELLS // max(len(c_ids), 1))
     parts = []
     for start in range(0, len(q_ids), step):
         q = qa[start:start + step]
-        approx = np.einsum("ij,ij->i", q, q)[:, None] + c_sq[None, :] - 2.0 * (q @ ca.T)
-        limit = np.partition(approx, take - 1, axis=1)[:, take - 1] + slack
-        qi, ci = np.nonzero(approx <= limit[:, None])
+        sizes = q_sq[start:start + step][:, None] + c_sq[None, :]
+        approx = sizes - (2.0 if metric == "l2" else 1.0) * (q @ ca.T)
+        # each pair has its own rounding error, so one row of huge norm does not make all others candidates
+        slack = 1e-10 * np.maximum(sizes, 1e-300)
+        limit = np.partition(approx + slack, take - 1, axis=1)[:, take - 1]
+        qi, ci = np.nonzero(approx - slack <= limit[:, None])
         ids_q, ids_c = q_ids[start:start + step][qi], c_ids[ci]
         if exclude_self:
             other = ids_q != ids_c
@@ -180,7 +184,7 @@ def knn_join(
     size = c.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
     if size["n"] <= block_rows and size["n"] * size["d"] * 8 <= BROADCAST_BYTES:
         return _edges_to_broadcast(q, c, k, metric, exclude_self)
-    edges = _pruned_edges(q, c, size["n"], k, metric, exclude_self, block_rows)
+    edges = _blocked_edges(q, materialize(c), size["n"], k, metric, exclude_self, block_rows)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return edges.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "distance")
 
@@ -199,6 +203,32 @@ def _edges_to_broadcast(q: DataFrame, c: DataFrame, k: int, metric: str, exclude
     return q.mapInPandas(run, EDGE_SCHEMA)
 
 
+def _blocked_edges(q, c, n_corpus: int, k: int, metric: str, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Candidate edges of pruned blocks; with cosine, zero vectors are handled apart, since no bound holds for them.
+
+    A zero vector has distance 1 to every row: as a corpus row only the smallest ids of its kind can be neighbours, as a
+    query its neighbours are the smallest ids of all.
+    """
+    if metric != "cosine":
+        return _pruned_edges(q, c, n_corpus, k, metric, exclude_self, block_rows)
+    zero = F.forall("v", lambda x: x == 0)
+    need = k + (1 if exclude_self else 0)
+    smallest = lambda df: [r["id"] for r in df.groupBy().agg(F.slice(F.sort_array(F.collect_list("id")), 1, need).alias("ids")).select(F.explode("ids").alias("id")).collect()]
+    # the least ids of each id bucket first, so that what is gathered is bounded by the buckets
+    least = lambda df: smallest(df.select("id", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(256))).orderBy("id")).alias("p")).where(F.col("p") <= need))
+
+    def to_all(rows: DataFrame, ids: list[int]) -> DataFrame:
+        pairs = rows.select(F.col("id").alias("query_id"), F.explode(F.array(*[F.lit(i).cast("long") for i in ids]).cast("array<long>")).alias("neighbor_id"))
+        return pairs.where("query_id != neighbor_id" if exclude_self else "true").select(
+            "query_id", "neighbor_id", F.lit(0).alias("rank"), F.lit(1.0).alias("distance"))
+
+    some_q, some_c = q.where(~zero), c.where(~zero)
+    edges = to_all(q.where(zero), least(c)).unionByName(to_all(some_q, least(c.where(zero))))
+    if not some_c.limit(1).count():
+        return edges
+    return edges.unionByName(_pruned_edges(some_q, some_c, n_corpus, k, metric, exclude_self, block_rows))
+
+
 def _pruned_edges(q, c, n_corpus: int, k: int, metric: str, exclude_self: bool, block_rows: int) -> DataFrame:
     sc = q.sparkSession.sparkContext
     if metric == "cosine":  # on unit vectors the Euclidean order is the cosine order
@@ -209,8 +239,10 @@ def _pruned_edges(q, c, n_corpus: int, k: int, metric: str, exclude_self: bool,
     else:
         q, c = q.withColumn("u", F.col("v")), c.withColumn("u", F.col("v"))
     n_pivots = int(min(MAX_PIVOTS, max(2, 2 * n_corpus // block_rows)))
-    # a bounded number of rows, fixed by the hash of their id
-    chosen = c.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n_pivots).select("v").collect()
+    # a bounded number of rows, fixed by the hash of their id; only about twice that many are sorted
+    order = [F.md5(F.col("id").cast("string")), F.col("id")]
+    few = c.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1 << 20, max(64, (2 << 20) * n_pivots // max(1, n_corpus)))))
+    chosen = few.orderBy(*order).limit(n_pivots).select("v").collect() or c.orderBy(*order).limit(n_pivots).select("v").collect()
     pivots = sc.broadcast(np.unique(np.array([r["v"] for r in chosen]), axis=0))
     m = len(pivots.value)
     need = k + (1 if exclude_self else 0)

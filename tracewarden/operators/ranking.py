@@ -126,18 +126,31 @@ def _cell_counts(state, dim: int):
     return run
 
 
-def quantiles(df: DataFrame, value_col: str, probs: list[float], n: int | None = None) -> list[float]:
-    """Exact linear-interpolated quantiles of one column."""
-    rows = df.count() if n is None else n
-    if rows <= IN_PLAN_LIMIT:
-        got = df.agg(F.percentile(value_col, F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first()["q"]
-        return [float(x) for x in got]
+def quantiles(
+    df: DataFrame, value_col: str, probs: list[float], n: int | None = None, in_plan_limit: int = IN_PLAN_LIMIT,
+) -> list[float]:
+    """Exact linear-interpolated quantiles of one column; nulls do not count, NaN is the largest value.
+
+    ``n``: rows with a value, if known.  No row with a value gives NaN for every quantile.
+    """
+    known = df.select(F.col(value_col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    counts = known.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.isnan("v")).alias("nan")).first()
+    rows, plain = counts["rows"], counts["rows"] - counts["nan"]
+    if not rows:
+        return [float("nan")] * len(probs)
+    numbers = known.where(~F.isnan("v"))
     ends = sorted({min(int(p * (rows - 1)) + up, rows - 1) for p in probs for up in (0, 1)})
-    values = column_order_statistics(df.select(F.array(value_col).alias("v")), "v", 1, ends)[0]
-    at = dict(zip(ends, values))
+    inside = [e for e in ends if e < plain]
+    at = {e: float("nan") for e in ends}
+    if inside and plain <= in_plan_limit:
+        shares = F.array(*[F.lit(e / max(1, plain - 1)) for e in inside])
+        at.update(zip(inside, numbers.agg(F.percentile("v", shares).alias("q")).first()["q"]))
+    elif inside:
+        at.update(zip(inside, column_order_statistics(numbers.select(F.array("v").alias("v")), "v", 1, inside)[0]))
     out = []
     for p in probs:
         spot = p * (rows - 1)
         i = int(spot)
-        out.append(float(at[i] + (at[min(i + 1, rows - 1)] - at[i]) * (spot - i)))
+        low, high = at[i], at[min(i + 1, rows - 1)]
+        out.append(float(low) if spot == i or low == high else float(low + (high - low) * (spot - i)))
     return out

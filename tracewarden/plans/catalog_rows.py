@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewarden.functions import arrays, text
@@ -9,7 +11,8 @@ from tracewarden.operators import encoding, sampling
 from tracewarden.plans.inputs import (
     FLOWS_SQL, LOGS_SQL, TRACES_SQL, VECTORS_SQL, flows, logs, traces, vectors,
 )
-from tracewarden.plans.registry import query, table
+from tracewarden.plans.registry import ORACLES, query, table
+from tracewarden.session import scratch_dir
 from tracewarden.sources import loaders
 
 # White space for the SQL twins; the same class the library strips.
@@ -167,6 +170,41 @@ def load_flows_unlabelled(spark, sf_dir):
     return wide(loaders.load_dataset_unlabeled(spark, flows(spark, sf_dir), "unsw-nb15"), ["row_id", "line"])
 
 
+# ------------------------------------------------------------------ the same through CSV files
+
+
+def csv_copy(spark, rows):
+    """The rows written as CSV text with a header and read back, every type found anew."""
+    path = f"{scratch_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@query(ORACLES["load_flows_as_text"])
+def csv_flows_as_text(spark, sf_dir):
+    rows = loaders.read_csv(spark, csv_copy(spark, flows(spark, sf_dir)), id_col="row_id", infer_types=True)
+    return loaders.load_dataset(spark, rows, "unsw-nb15")
+
+
+@query(ORACLES["load_flow_features"])
+def csv_flow_features(spark, sf_dir):
+    rows = loaders.read_csv(spark, csv_copy(spark, flows(spark, sf_dir)), id_col="row_id", infer_types=True)
+    return wide(loaders.load_unsw_nb15_cleaned(spark, rows), ["row_id", "label"])
+
+
+@query(ORACLES["load_flows_unlabelled"])
+def csv_flows_unlabelled(spark, sf_dir):
+    rows = loaders.read_csv(spark, csv_copy(spark, flows(spark, sf_dir)), id_col="row_id", infer_types=True)
+    return wide(loaders.load_dataset_unlabeled(spark, rows, "unsw-nb15"), ["row_id", "line"])
+
+
+@query(ORACLES["load_hdfs_unlabeled"])
+def csv_hdfs_unlabeled(spark, sf_dir):
+    rows = loaders.read_csv(spark, csv_copy(spark, logs(spark, sf_dir).drop("row_id")), id_col="LineId")
+    return loaders.load_dataset_unlabeled(spark, rows, "hdfs").select(
+        "row_id", "line", F.col("LineId").cast("long").alias("line_id"), F.col("EventId").alias("event_id"))
+
+
 @query(f"WITH {FLOWS_SQL} SELECT DISTINCT coalesce(state, 'unknown') AS value, CAST(dense_rank() OVER (ORDER BY coalesce(state, 'unknown')) - 1 AS INTEGER) AS code FROM flows")
 def category_codes(spark, sf_dir):
     return encoding.category_codes(flows(spark, sf_dir), ["state"], "unknown").select("value", "code")

@@ -78,11 +78,19 @@ def tfidf_terms(spark, sf_dir):
     return inference.tfidf_terms(documents(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
-@query()
+@query("""WITH words AS (SELECT DISTINCT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents),
+terms AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM (SELECT DISTINCT term FROM words)),
+per AS (SELECT row_id, count(*) AS filled, sum(term_id) AS index_sum FROM words JOIN terms USING (term) GROUP BY row_id)
+SELECT doc_id AS row_id, (SELECT count(*) FROM terms) AS size, coalesce(filled, 0) AS filled, CAST(coalesce(index_sum, 0) AS BIGINT) AS index_sum,
+       CASE WHEN filled > 0 THEN 1.0 ELSE 0.0 END AS squared_length FROM documents LEFT JOIN per ON row_id = doc_id""")
 def tfidf_embedding(spark, sf_dir):
     rows = documents(spark, sf_dir)
-    done = inference.embed_texts(rows, embedding_type="tfidf", vectorizer=inference.fit_tfidf(rows, vocab_size=1024))
-    return done.select("row_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
+    done = inference.embed_texts(rows, embedding_type="tfidf", vectorizer=inference.fit_tfidf(rows))
+    total = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    return done.select(
+        "row_id", "embedding.size", F.size("embedding.indices").cast("long").alias("filled"),
+        total("embedding.indices", F.lit(0).cast("long")).alias("index_sum"),
+        F.round(F.aggregate("embedding.values", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
 
 
 # ------------------------------------------------------------------ retrieval

@@ -45,33 +45,57 @@ def with_source_position(df: DataFrame) -> DataFrame:
     )
 
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?([iI]nf|[iI]nfinity)\s*$"
+INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+
+
+def found_types(df: DataFrame) -> dict[str, str]:
+    """SQL types of text columns that hold only numbers, from one aggregate over all rows.
+
+    Integers throughout make a long, integers with gaps or other numbers a double, as does a column without any value.
+    """
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return {}
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        c for i, n in enumerate(names) for c in (
+            F.count(F.col(f"`{n}`")).alias(f"known_{i}"), F.count_if(F.col(f"`{n}`").rlike(INTEGER)).alias(f"long_{i}"),
+            F.count_if(F.col(f"`{n}`").rlike(NUMBER)).alias(f"double_{i}"))
+    ]).first()
+    out = {}
+    for i, name in enumerate(names):
+        if counts["rows"] and counts[f"long_{i}"] == counts["rows"]:
+            out[name] = "bigint"
+        elif counts["rows"] and counts[f"double_{i}"] == counts[f"known_{i}"]:
+            out[name] = "double"
+    return out
+
+
 def read_csv(
     spark: SparkSession, path: str, id_col: str | None = None, schema: T.StructType | None = None,
-    numeric_columns: dict[str, str] | None = None,
+    numeric_columns: dict[str, str] | None = None, infer_types: bool = False, multi_line: bool = False,
 ) -> DataFrame:
     """S9 + B16: fields as text, missing-value words to null, ``row_id`` from ``id_col`` or position.
 
-    ``numeric_columns`` (name to SQL type) are converted after the null words are removed.
+    ``numeric_columns`` (name to SQL type) are converted after the null words are removed; ``infer_types`` finds them from
+    the values.  A record whose number of fields is wrong raises an error.  Quoted line breaks need ``multi_line``, which reads each
+    file in one task; without it they raise the same error.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("mode", "FAILFAST")
     raw = reader.schema(schema).csv(path) if schema else reader.csv(path)
-    positioned = raw.withColumn("row_id", F.col(id_col).cast("long")) if id_col else with_source_position(raw)
-    wanted = numeric_columns or {}
-    out = []
-    for field in positioned.schema.fields:
-        col = F.col(field.name)
-        if isinstance(field.dataType, T.StringType):
-            col = text.null_if_missing(col)
-        if field.name in wanted:
-            col = col.try_cast(wanted[field.name])
-        out.append(col.alias(field.name))
-    return positioned.select(*out)
-
-
-def _frame(spark: SparkSession, source: str | DataFrame, id_col: str | None = None, numeric=None) -> DataFrame:
+    positioned = raw.withColumn("row_id", F.col(id_col) if infer_types else F.col(id_col).cast("long")) if id_col else with_source_position(raw)
+    cleaned = positioned.select(*[
+        (text.null_if_missing(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(f.name)
+        for f in positioned.schema.fields])
+    wanted = {**(found_types(cleaned) if infer_types else {}), **(numeric_columns or {})}
+    return cleaned.select(*[
+        (F.trim(F.col(f"`{c}`")).try_cast(wanted[c]) if c in wanted else F.col(f"`{c}`")).alias(c) for c in cleaned.columns])
+
+
+def _frame(spark: SparkSession, source: str | DataFrame, id_col: str | None = None, infer_types: bool = False) -> DataFrame:
     if isinstance(source, DataFrame):
         return source
-    return read_csv(spark, source, id_col, numeric_columns=numeric)
+    return read_csv(spark, source, id_col, infer_types=infer_types)
 
 
 def seeded_or_all(spark: SparkSession, source: str | DataFrame, nlines: int | None) -> DataFrame:
@@ -133,7 +157,7 @@ def load_unsw_nb15(
 ) -> DataFrame:
     """S3: flows as text, ``(row_id, line, label)``."""
     options = preprocessing or {}
-    rows = sampling.seeded_sample(_frame(spark, source), nlines)
+    rows = sampling.seeded_sample(_frame(spark, source, infer_types=True), nlines)
     if options.get("remove_duplicates", False):
         rows = sampling.drop_duplicate_rows(rows)
     rows, label_cols = flow_label(rows)
@@ -167,7 +191,7 @@ def load_unsw_nb15_cleaned(
     Both label columns leave the features; ``leak_compat`` keeps the other one in.  ``codes`` and
     ``bounds`` fitted on other rows may be passed in; ``keep`` carries further columns through.
     """
-    rows = sampling.seeded_sample(_frame(spark, source), nlines)
+    rows = sampling.seeded_sample(_frame(spark, source, infer_types=True), nlines)
     if label_col not in rows.columns:
         raise ValueError(f"label column '{label_col}' not found")
     kept = ["row_id", *(keep or [])]
@@ -196,7 +220,7 @@ def load_hdfs_unlabeled(spark: SparkSession, source: str | DataFrame, nlines: in
 
 def load_unsw_nb15_unlabeled(spark: SparkSession, source: str | DataFrame, nlines: int | None = None) -> DataFrame:
     """``(row_id, line, features)``; the text is rendered before the categories are encoded."""
-    rows = sampling.seeded_sample(_frame(spark, source), nlines)
+    rows = sampling.seeded_sample(_frame(spark, source, infer_types=True), nlines)
     rows = encoding.drop_present(rows, encoding.IDENTIFIER_COLUMNS + encoding.LABEL_COLUMNS)
     features = [c for c in rows.columns if c != "row_id"]
     numeric_only = not encoding.string_columns(rows, ["row_id"])
