@@ -251,3 +251,11 @@ def test_combined_results(spark, tmp_path):
 def test_no_invalid_json_numbers(spark):
     rows = spark.createDataFrame([(float("inf"), [1.0, float("nan")])], "a double, b array<double>")
     assert tuple(sinks.finite_or_null(rows).first()) == (None, [1.0, None])
+
+
+@pytest.mark.parametrize("n", [1, 50, 1999, 5000])
+def test_hash_order_sample_does_not_depend_on_the_filter(spark, n):
+    rows = spark.range(2000).withColumnRenamed("id", "row_id")
+    want = [r[0] for r in rows.orderBy(sampling.hash_key("row_id"), "row_id").limit(n).collect()]
+    assert [r[0] for r in sampling.first_in_hash_order(rows, n).collect()] == want
+    assert {r[0] for r in sampling.first_in_hash_order(rows, n, total=10**9).collect()} == set(want)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewarden.operators import metrics, supervised
-from tracewarden.operators.silhouette import silhouette
+from tracewarden.operators.silhouette import centroid_silhouette, silhouette
 from tracewarden.sources import loaders
 
 
@@ -34,6 +34,22 @@ def test_cluster_quality_golden(spark):
     assert silhouette(one).first()[0] is None and metrics.davies_bouldin(one).first()[0] is None
 
 
+def test_centroid_silhouette(spark):
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(size=(60, 3)), rng.integers(-1, 3, 60)
+    x, c = np.vstack([x, [[9.0, 9, 9]]]), np.append(c, 7)
+    df = spark.createDataFrame([(i, [float(e) for e in v], int(k)) for i, (v, k) in enumerate(zip(x, c))], "row_id long, embedding array<double>, cluster_id int")
+    centers = {k: x[c == k].mean(axis=0) for k in set(c) - {-1}}
+    want = []
+    for v, k in zip(x, c):
+        if k != -1:
+            a = np.linalg.norm(v - centers[k])
+            b = min(np.linalg.norm(v - m) for j, m in centers.items() if j != k)
+            want.append(0.0 if k == 7 else (b - a) / max(a, b))
+    assert centroid_silhouette(df).first()[0] == pytest.approx(np.mean(want))
+    assert centroid_silhouette(df.where("cluster_id = 7")).first()[0] is None
+
+
 def test_silhouette_with_copies_and_a_single(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 3))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.operators import clustering, detectors, inference, metrics, reasoning, retrieval, sampling, supervised, vectors
-from tracewarden.operators.silhouette import silhouette
+from tracewarden.operators.silhouette import centroid_silhouette, silhouette
 from tracewarden.session import brief, materialize, side_by_side, spread
 from tracewarden.sources import loaders, sinks
 
@@ -32,6 +32,7 @@ class Settings:
     results_dir: str | None = None
     classifiers: dict | None = None
     reasoning: bool = True
+    silhouette: str | None = "exact"  # or "centroid", which is linear in the rows, or None
 
 
 @dataclass
@@ -117,7 +118,7 @@ def _labelled(parts: DataFrame, approach: str, dataset_type: str, nlines: int |
     results = supervised.evaluate_embeddings_cv(reduced, approach, dataset_type, classifiers=settings.classifiers)
     results = results.withColumns({
         "nlines": F.lit(nlines if nlines else n).cast("long"), "embedding_time": F.lit(seconds),
-        "sec_per_1k_logs": metrics.seconds_per_thousand(F.lit(seconds), F.lit(nlines if nlines else n)),
+        "sec_per_1k_logs": metrics.seconds_per_thousand(F.lit(seconds), F.lit(nlines if nlines else n)), **backend_columns(parts, settings),
     })
     train, test = usable.where(F.col("split") == "train"), usable.where(F.col("split") == "test")
     context = explain_with_context(train, test, dataset_type, settings)
@@ -177,10 +178,29 @@ def run_flow_pair(
     return outcome
 
 
+def spark_row(data: DataFrame, name: str) -> DataFrame:
+    """One row with a null number, for a measure that was not asked for."""
+    return data.sparkSession.createDataFrame([(None,)], f"{name} double")
+
+
+def backend_columns(parts: DataFrame, settings: Settings) -> dict:
+    """``backend`` and ``embedding_metadata`` (backend, rows embedded, dimension) of a run's embedded table."""
+    name = settings.embedder if isinstance(settings.embedder, str) else getattr(settings.embedder, "__name__", "custom")
+    figures = inference.embedding_metadata(parts).first()
+    return {"backend": F.lit(name), "embedding_metadata": F.struct(
+        F.lit(name).alias("backend"), F.lit(figures["samples_processed"]).cast("long").alias("samples_processed"),
+        F.lit(figures["embedding_dim"]).cast("int").alias("embedding_dim"))}
+
+
 def unsupervised_result(
     data: DataFrame, approach: str, dataset_type: str, contamination: str | float = "auto", vec_col: str = "embedding",
+    silhouette_kind: str | None = "exact",
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """V8, D6, C1–C4, E8–E12 on ``data(row_id, embedding)``: ``(result, combined, votes, clusters)``."""
+    """V8, D6, C1–C4, E8–E12 on ``data(row_id, embedding)``: ``(result, combined, votes, clusters)``.
+
+    ``silhouette_kind``: "exact" needs every distance; "centroid" is linear and adds its own column; None leaves both out.
+    The column ``silhouette_score`` is 0 where it was not asked for, as where it has no value.
+    """
     rate = vectors.resolve_contamination(data, contamination, vec_col)
     votes, combined = detectors.detect_anomalies(data, rate, vec_col=vec_col)
     combined = materialize(combined)
@@ -188,7 +208,9 @@ def unsupervised_result(
     tagged = materialize(data.select("row_id", F.col(vec_col).alias("embedding")).join(clustering.preferred_labels(clusters), "row_id"))
     pieces = [
         metrics.detection_counts(combined), metrics.score_statistics(combined).select("score_mean", "score_std", "score_separation"),
-        silhouette(tagged), metrics.davies_bouldin(tagged), metrics.embedding_statistics(tagged).select("embedding_dim"),
+        silhouette(tagged) if silhouette_kind == "exact" else spark_row(data, "silhouette_score"),
+        centroid_silhouette(tagged) if silhouette_kind == "centroid" else spark_row(data, "centroid_silhouette_score"),
+        metrics.davies_bouldin(tagged), metrics.embedding_statistics(tagged).select("embedding_dim"),
         votes.agg(F.count_distinct("method").alias("num_methods_used")),
     ]
     row = side_by_side(*pieces)
@@ -199,6 +221,7 @@ def unsupervised_result(
         F.col("num_anomalies").alias("anomalies_detected"), F.col("num_samples").alias("total_samples"), "anomaly_ratio",
         F.lit("unlabeled").alias("mode"), "embedding_dim", number("score_mean"), number("score_std"), number("score_separation"),
         "num_methods_used", number("silhouette_score"), number("davies_bouldin_score"),
+        *([number("centroid_silhouette_score")] if silhouette_kind == "centroid" else []),
     )
     return result, combined, votes, clusters
 
@@ -215,8 +238,9 @@ def run_unlabelled(
         data = materialize(inference.embed(spread(lines), "line", options.embedder))
         seconds = time.time() - started
         usable = data.where(F.col("embedding").isNotNull())
-        result, combined, votes, clusters = unsupervised_result(usable, approach, dataset_type, contamination)
-        result = result.withColumns({"embedding_time": F.lit(seconds), "nlines": F.lit(nlines).cast("long")})
+        result, combined, votes, clusters = unsupervised_result(
+            usable, approach, dataset_type, contamination, silhouette_kind=options.silhouette)
+        result = result.withColumns({"embedding_time": F.lit(seconds), "nlines": F.lit(nlines).cast("long"), **backend_columns(data, options)})
         verdicts = None
         if options.reasoning:
             flagged = lines.join(combined.select("row_id", "is_anomaly"), "row_id")

@@ -211,7 +211,9 @@ def load_unsw_nb15_cleaned(
 def load_hdfs_unlabeled(spark: SparkSession, source: str | DataFrame, nlines: int | None = None) -> DataFrame:
     """The first ``nlines`` log lines as text with their event columns."""
     rows = _frame(spark, source)
-    if nlines:
+    if nlines and isinstance(source, str):  # ids are the places in the file
+        rows = rows.where(F.col("row_id") < nlines)
+    elif nlines:
         rows = rows.orderBy("row_id").limit(nlines)
     parts = [F.col(c).cast("string") for c in text.LOG_LINE_COLUMNS if c in rows.columns]
     extra = [c for c in ("LineId", "EventId", "EventTemplate") if c in rows.columns]
