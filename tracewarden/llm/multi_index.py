@@ -2,8 +2,9 @@
 
 The two halves of a vector are quantised apart, which gives ``centroids ** 2`` cells.  A query walks the pairs of centroids in
 falling order of their summed inner products, taken from a heap, until the cells on its way hold the wanted share of the rows;
-all rows in them are scored exactly.  Large cells are dealt into blocks of bounded size, so no task holds a whole cell;
-queries stream past a block.
+all rows in them are scored exactly.  The cells of one left centroid lie together, so that a query travels once to each left
+centroid it visits, with the right ones it wants.  Each left centroid's rows are dealt into blocks of bounded size; queries
+stream past a block.
 
 Vectors that are null, zero, hold null or non-finite components, or have another dimension than most, take no part.
 Rows that repeat a vec_id count once among the neighbours, and never as neighbours of that id.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.session import discard, materialize
 
-CENTROIDS, SAMPLE_ROWS, ROUNDS = 16, 20_000, 12
-BLOCK_ROWS, SHARE, LEAST = 4096, 0.4, 2000
+CENTROIDS, SAMPLE_ROWS, ROUNDS = 32, 20_000, 12
+BLOCK_ROWS, SHARE, LEAST = 4096, 0.5, 2000
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -87,20 +88,27 @@ def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(vectors * query).sum(axis=1)
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """For each query its k best of the block: ``(query ids, ids, scores)``.  Equal vectors are scored once."""
+def best_of_block(queries: np.ndarray, query_ids: np.ndarray, wanted: np.ndarray, vectors: np.ndarray, ids: np.ndarray, cells: np.ndarray, k: int):
+    """For each query its k best among the block's rows in the cells it wants: ``(query ids, ids, scores)``.
+
+    ``wanted``: one row of flags per query, one column per right centroid; ``cells``: the rows' right centroids.  Equal
+    vectors are scored once.
+    """
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
-    distinct, where = np.unique(vectors, axis=0, return_inverse=True)
+    ids, vectors, cells = ids[order], np.ascontiguousarray(vectors[order]), cells[order]
+    distinct, at, where = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
     by_vector = np.argsort(where.ravel(), kind="stable")  # ids rise within a vector
     starts = np.concatenate([[0], np.cumsum(np.bincount(where.ravel(), minlength=len(distinct)))])
-    rough = queries @ distinct.T
+    allowed = wanted[:, cells[at]]
+    rough = np.where(allowed, queries @ distinct.T, -np.inf)
     slack = 1e-9 * (np.abs(queries).max(1) * np.abs(distinct).max() * distinct.shape[1])
     take = min(k + 1, len(distinct))
     floor = np.partition(rough, len(distinct) - take, axis=1)[:, len(distinct) - take] - slack
     out_q, out_i, out_s = [], [], []
     for q in range(len(queries)):
-        near = np.flatnonzero(rough[q] >= floor[q])
+        near = np.flatnonzero((rough[q] >= floor[q]) & allowed[q])
+        if not len(near):
+            continue
         scores = exact_scores(queries[q], distinct[near])
         members = [ids[by_vector[starts[d]:min(starts[d + 1], starts[d] + k + 1)]] for d in near]
         found, value = np.concatenate(members), np.repeat(scores, [len(m) for m in members])
@@ -110,6 +118,8 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
         out_q.append(np.full(len(best), query_ids[q]))
         out_i.append(found[best])
         out_s.append(value[best])
+    if not out_q:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
@@ -138,12 +148,12 @@ def search(
                 cells = assign(_matrix(batch.column(1)), first, second)
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cells.astype(np.int32))], ["vec_id", "vector", "cell"])
 
+    columns = len(second)
     placed = materialize(vectors.mapInArrow(place, "vec_id long, vector array<double>, cell int"))
-    n_cells = len(first) * len(second)
-    sizes = np.zeros(n_cells, np.int64)
+    sizes = np.zeros(len(first) * columns, np.int64)
     for r in placed.groupBy("cell").count().collect():  # one row per cell: centroids squared at most
         sizes[r.cell] = r["count"]
-    blocks = np.maximum(1, -(-sizes // block_rows))
+    blocks = np.maximum(1, -(-sizes.reshape(-1, columns).sum(1) // block_rows))
     wanted = min(total, max(LEAST, int(share * total)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,47 +162,55 @@ def search(
             for at in range(0, len(queries), 256):
                 part = queries[at:at + 256]
                 left, right = part[:, :half] @ first.T, part[:, half:] @ second.T
-                which, cells, block = [], [], []
+                which, rows_, block, cells = [], [], [], []
                 for q in range(len(part)):
+                    visited: dict[int, list[int]] = {}
                     for cell in walk(left[q], right[q], sizes, wanted):
-                        for b in range(blocks[cell]):
+                        visited.setdefault(cell // columns, []).append(cell % columns)
+                    for row, own in visited.items():
+                        for b in range(blocks[row]):
                             which.append(at + q)
-                            cells.append(cell)
+                            rows_.append(row)
                             block.append(b)
+                            cells.append(own)
                 yield pa.record_batch(
-                    [batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(cells, pa.int32()), pa.array(block, pa.int32()),
-                     pa.array(np.ones(len(which), np.int32))], ["vec_id", "vector", "cell", "block", "asks"])
+                    [batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(rows_, pa.int32()), pa.array(block, pa.int32()),
+                     pa.array(np.ones(len(which), np.int32)), pa.array(cells, pa.list_(pa.int32()))], ["vec_id", "vector", "row", "block", "asks", "cells"])
 
     asked = placed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "vector")
-    visits = asked.mapInArrow(visit, "vec_id long, vector array<double>, cell int, block int, asks int")
+    visits = asked.mapInArrow(visit, "vec_id long, vector array<double>, row int, block int, asks int, cells array<int>")
     deal = F.broadcast(rows.sparkSession.createDataFrame(
-        [(c, int(b)) for c, b in enumerate(blocks)], "cell int, blocks int"))  # one row per cell
-    entries = placed.join(deal, "cell").select(
-        "vec_id", "vector", "cell", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"))
+        [(c, int(b)) for c, b in enumerate(blocks)], "row int, blocks int"))  # one row per left centroid
+    entries = placed.withColumn("row", F.floor(F.col("cell") / columns).cast("int")).join(deal, "row").select(
+        "vec_id", "vector", "row", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"),
+        F.array((F.col("cell") % columns).cast("int")).alias("cells"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, vectors_ = None, [], []
+        at, parts = None, []
         held: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, block, asks = (batch.column(i).to_numpy() for i in range(3))
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
+            row, block, asks = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
             for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [batch.num_rows]])):
                 own_ids, own = batch.column(3).slice(lo, hi - lo).to_numpy(), _matrix(batch.column(4).slice(lo, hi - lo))
-                if (cell[lo], block[lo]) != at:
-                    at, ids, vectors_, held = (cell[lo], block[lo]), [], [], None
+                own_cells = batch.column(5).slice(lo, hi - lo)
+                if (row[lo], block[lo]) != at:
+                    at, parts, held = (row[lo], block[lo]), [], None
                 if not asks[lo]:
-                    ids.append(own_ids)
-                    vectors_.append(own)
-                elif ids:
-                    held = held or (np.concatenate(vectors_), np.concatenate(ids))
+                    parts.append((own, own_ids, own_cells.flatten().to_numpy()))
+                elif parts:
+                    held = held or tuple(np.concatenate(c) for c in zip(*parts))
+                    flags = np.zeros((len(own), columns), bool)
+                    lists = own_cells.to_pylist()
+                    flags[np.repeat(np.arange(len(own)), [len(c) for c in lists]), np.concatenate(lists)] = True
                     for s in range(0, len(own), 512):
-                        columns = best_of_block(own[s:s + 512], own_ids[s:s + 512], *held, k)
-                        yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+                        found_ = best_of_block(own[s:s + 512], own_ids[s:s + 512], flags[s:s + 512], *held, k)
+                        yield pa.record_batch([pa.array(c) for c in found_], ["query_id", "vec_id", "score"])
 
-    together = entries.unionByName(visits).select("cell", "block", "asks", "vec_id", "vector")
-    found = together.repartition("cell", "block").sortWithinPartitions("cell", "block", "asks").mapInArrow(
+    together = entries.unionByName(visits).select("row", "block", "asks", "vec_id", "vector", "cells")
+    found = together.repartition("row", "block").sortWithinPartitions("row", "block", "asks").mapInArrow(
         score, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
