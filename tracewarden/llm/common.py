@@ -17,12 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_state() -> python_types.ModuleType:
-    """A module that lives as long as the Python worker, for caches that later tasks can use again."""
-    name = "tracewarden_worker_state"
-    if name not in sys.modules:
-        sys.modules[name] = python_types.ModuleType(name)
-    return sys.modules[name]
+def kept_in_worker(name: str, key: str, make):
+    """``make()``, kept for later tasks of the same Python worker; only one name and key at a time, so caches do not add up."""
+    module = "tracewarden_worker_state"
+    if module not in sys.modules:
+        sys.modules[module] = python_types.ModuleType(module)
+    state = sys.modules[module].__dict__
+    if state.get("held") != (name, key):
+        state["value"] = None
+        state["held"], state["value"] = (name, key), make()
+    return state["value"]
 
 
 def rows_in_chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:

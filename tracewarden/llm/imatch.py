@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import rows_in_chunks, worker_state
+from tracewarden.llm.common import kept_in_worker, rows_in_chunks
 
 TERM = re.compile(r"\w+")
 SUBSETS, DIGITS = 24, 6
@@ -128,11 +128,7 @@ def edited(text: str, following: str) -> str:
 
 def _kept_lexicon(shared) -> Lexicon:
     depths, name = shared.value
-    kept = worker_state().__dict__.setdefault("lexicon", {})
-    if name not in kept:
-        kept.clear()
-        kept[name] = Lexicon(depths)
-    return kept[name]
+    return kept_in_worker("lexicon", name, lambda: Lexicon(depths))
 
 
 def compare_with_edit(docs: DataFrame, lexicon: list[str]) -> DataFrame:

@@ -13,9 +13,9 @@ import unicodedata
 
 import numpy as np
 
-from tracewarden.llm.common import worker_state
+from tracewarden.llm.common import kept_in_worker
 
-MAX_WORDS = 1_000_000  # words whose ids a worker keeps; after that it starts afresh
+MAX_WORDS = 800_000  # words whose ids a worker keeps; after that it starts afresh
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -76,7 +76,4 @@ class WordIds(dict):
 
 def encoder(path: str) -> WordIds:
     """The worker's encoder for a vocabulary file, made once."""
-    kept = worker_state().__dict__.setdefault("word_ids", {})
-    if path not in kept:
-        kept[path] = WordIds(path)
-    return kept[path]
+    return kept_in_worker("word ids", path, lambda: WordIds(path))
