@@ -99,9 +99,9 @@ parts AS (SELECT source, rate, greatest(CAST(ceil(rate / 16.0) AS INTEGER), 1) A
 terms AS (
   SELECT source, rate / parts AS part_rate, 0 AS k, exp(-(rate / parts)) AS p, exp(-(rate / parts)) AS c FROM parts
   UNION ALL
-  SELECT source, part_rate, k + 1, p * part_rate / (k + 1), c + p * part_rate / (k + 1) FROM terms WHERE k < 120),
+  SELECT source, part_rate, k + 1, p * part_rate / (k + 1), c + p * part_rate / (k + 1) FROM terms WHERE k < 80),
 cells AS (
-  SELECT source, k, lag(c, 1, -1.0) OVER (PARTITION BY source ORDER BY k) AS low, CASE WHEN k = 120 THEN 2.0 ELSE c END AS high FROM terms),
+  SELECT source, k, lag(c, 1, -1.0) OVER (PARTITION BY source ORDER BY k) AS low, CASE WHEN k = 80 THEN 2.0 ELSE c END AS high FROM terms),
 draws AS (
   SELECT d.doc_id, d.source, p.rate, i.i,
          (CAST('0x' || substr(md5('42|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || i.i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u, d.row_no

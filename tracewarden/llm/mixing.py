@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART_RATE = 16.0  # a larger rate is the sum of independent draws of at most this rate, so that exp(-rate) stays exact
-PART_TERMS = 120  # P(Poisson(16) > 120) is far below the resolution of the hashed number
+PART_TERMS = 80  # P(Poisson(16) > 80) is far below the resolution of the hashed number
 
 
 def unit_number(*parts: Column) -> Column:
@@ -67,8 +67,9 @@ def replicate(docs: DataFrame, rate_table: DataFrame, seed: int = 42) -> DataFra
     draws = F.transform(
         F.sequence(F.lit(1), F.greatest(parts, F.lit(1))),
         lambda i: poisson_count(F.col("rate") / F.greatest(parts, F.lit(1)), unit_number(F.lit(seed), key, i)))
-    counted = joined.withColumn("_count", F.aggregate(draws, F.lit(0).cast("long"), lambda a, b: a + b))
-    copies = counted.where(F.col("_count") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_count")))).drop("_count")
+    count = F.aggregate(draws, F.lit(0).cast("long"), lambda a, b: a + b)
+    # the count stands in the plan once, so it is worked out once for each row
+    copies = joined.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), count), lambda k: k > 0)))
     return copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(seed)), key, F.col("copy").cast("string"))))
 
 
