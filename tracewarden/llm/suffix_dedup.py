@@ -223,13 +223,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(place, check, spans)``: byte spans to remove, flat and unmerged, of each text of ``docs`` that has any."""
     keyed = _keyed(docs).select(F.col("_place").alias("place"), F.col("_check").alias("check"), F.col("_bytes").alias("bytes"))
-    runs = keyed.where(F.octet_length("bytes") >= length).mapInArrow(
-        _runs(length, window), "key long, place long, check long, start int, starts int, hint int")
+    runs = store(keyed.where(F.octet_length("bytes") >= length).mapInArrow(
+        _runs(length, window), "key long, place long, check long, start int, starts int, hint int"))
     repeated = runs.groupBy("key").agg(F.sum("hint").alias("n")).where(F.col("n") > 1).select("key")
     places = runs.join(repeated, "key").groupBy("place", "check").agg(
         F.flatten(F.collect_list(F.array(F.col("key"), F.col("start").cast("long"), F.col("starts").cast("long")))).alias("found"))
     cut = store(keyed.join(places, ["place", "check"]).select("place", "check", "bytes", "found").mapInArrow(
         _cut(length), "key long, piece binary, count long, bytes binary, place long, check long, start int"))
+    discard(runs)
     counted = cut.where(F.col("count") > 0).select("key", "piece", "count", "bytes")
     sorted_ = store(counted.repartition("key").sortWithinPartitions("key").mapInArrow(
         _sort_shards(length, shard_bytes), "piece binary, spans array<long>"))
