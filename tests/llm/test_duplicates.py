@@ -123,8 +123,8 @@ def slow_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("shard", [8 << 20, 500])
-def test_removal_matches_brute_force(spark, shard):
+@pytest.mark.parametrize("shard, limit", [(8 << 20, 30_000), (500, 3)])
+def test_removal_matches_brute_force(spark, shard, limit):
     rng = random.Random(7)
     words = ["alpha", "beta", "gamma", "délta", "epsilon", "zeta"]
     passage = " ".join(rng.choices(words, k=20))
@@ -134,7 +134,7 @@ def test_removal_matches_brute_force(spark, shard):
         texts.append(body if rng.random() < 0.5 else body[:30] + passage + body[30:])
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "a" * 900), (5, texts[40]), (None, texts[41]), (None, passage)]
     docs = spark.createDataFrame([(i, t, len(t or ""), "mine") for i, t in rows], "doc_id long, text string, n_chars long, kept string")
-    got = suffix_dedup.remove_repeats(docs, length=40, window=8, shard_bytes=shard).collect()
+    got = suffix_dedup.remove_repeats(docs, length=40, window=8, shard_bytes=shard, key_limit=limit).collect()
     want = [(i, *w) for (i, _), w in zip(rows, slow_removal([t for _, t in rows], 40))]
     key = lambda r: tuple(str(v) for v in r)
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=key) == sorted(want, key=key)

@@ -11,7 +11,8 @@ of text (their starts, plus the bytes the last one covers).
    are all equal needs no sorting.
 4. What repeats is mapped back to every place of the piece, merged for each text and cut out.
 
-A key with very many distinct pieces fills its own shard, which the sort handles with queues on disk.
+A key with more than ``key_limit`` distinct pieces, as under a passage that very many texts share, would fill one task.
+Its strings are told apart by their 128-bit hashes instead and counted in a distributed way, which finds the same strings.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from tracewarden.llm.induced_sort import repeated_starts
 from tracewarden.session import discard
 
 LENGTH, WINDOW = 200, 32  # bytes of a repeated string, bytes of a hashed window inside it
-SHARD_BYTES = 8 << 20
+SHARD_BYTES, KEY_LIMIT = 8 << 20, 30_000
 MULTIPLIER = 0xD6E8FEB86659FD93
 CUT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_spans", T.LongType())])
 
@@ -213,6 +214,32 @@ def _sort_shards(length: int, shard_bytes: int):
     return rows
 
 
+def _strings(length: int):
+    """Every string of a piece by its hash."""
+    from xxhash import xxh3_128_digest
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows_in_chunks([batch], 1 << 20, 256):
+                for piece, count, data in zip(*[part.column(i).to_pylist() for i in range(3)]):
+                    starts = range(len(data) - length + 1)
+                    hashes = [xxh3_128_digest(data[i:i + length]) for i in starts]
+                    yield pa.record_batch(
+                        [pa.array([piece] * len(starts), pa.binary()), pa.array(starts, pa.int64()), pa.array([count] * len(starts), pa.int64()), pa.array(hashes, pa.binary())],
+                        ["piece", "at", "count", "string"])
+    return rows
+
+
+def _spans_of_hot_keys(counted: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """``(piece, spans)`` for the pieces of keys that are too large for a task."""
+    pieces = counted.join(hot, "key", "left_semi").groupBy("piece").agg(F.sum("count").alias("count"), F.max("bytes").alias("bytes"))
+    strings = store(pieces.mapInArrow(_strings(length), "piece binary, at long, count long, string binary"))
+    repeated = strings.groupBy("string").agg(F.sum("count").alias("n")).where("n > 1").select("string")
+    # at most one entry per byte of a piece
+    return strings.join(repeated, "string").groupBy("piece").agg(
+        F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + length))).alias("spans"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Two longs that tell every text apart: the id, and a hash that tells rows of one id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -220,7 +247,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
         "_bytes": text.cast("binary"), "_place": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_check": F.xxhash64(text)})
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, key_limit: int = KEY_LIMIT,
+) -> DataFrame:
     """``(place, check, spans)``: byte spans to remove, flat and unmerged, of each text of ``docs`` that has any."""
     keyed = _keyed(docs).select(F.col("_place").alias("place"), F.col("_check").alias("check"), F.col("_bytes").alias("bytes"))
     runs = store(keyed.where(F.octet_length("bytes") >= length).mapInArrow(
@@ -232,13 +261,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         _cut(length), "key long, piece binary, count long, bytes binary, place long, check long, start int"))
     discard(runs)
     counted = cut.where(F.col("count") > 0).select("key", "piece", "count", "bytes")
-    sorted_ = store(counted.repartition("key").sortWithinPartitions("key").mapInArrow(
-        _sort_shards(length, shard_bytes), "piece binary, spans array<long>"))
+    sizes = cut.where((F.col("count") > 0) & F.col("place").isNotNull()).groupBy("key").count()  # rows that brought their bytes
+    hot = store(sizes.where(F.col("count") > key_limit).select("key"))
+    some_hot = bool(hot.limit(1).count())
+    cool = counted.join(hot, "key", "left_anti") if some_hot else counted
+    found = cool.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length, shard_bytes), "piece binary, spans array<long>")
+    sorted_ = store(found.unionByName(_spans_of_hot_keys(counted, hot, length)) if some_hot else found)
     placed = cut.where(F.col("place").isNotNull()).select("piece", "place", "check", "start")
     spans = placed.join(sorted_, "piece").groupBy("place", "check").agg(
         F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("start")))).alias("spans"))
     result = store(spans)
-    discard(cut, sorted_)
+    discard(cut, sorted_, hot)
     return result
 
 
@@ -261,14 +294,16 @@ def cut_out(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kept": kept, "n_spans": n})
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, key_limit: int = KEY_LIMIT,
+) -> DataFrame:
     """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``; columns of these names are replaced.
 
     Removed is every byte covered by a string of ``length`` bytes that also starts elsewhere in the table, same text
     included.  Null texts count as empty; rows with a null doc_id take part; rows that are wholly equal are copies of each
     other.  An empty table stays empty.
     """
-    spans = repeated_spans(docs, length, window, shard_bytes)
+    spans = repeated_spans(docs, length, window, shard_bytes, key_limit)
     own = [c for c in docs.columns if c not in {"kept", "n_bytes", "n_removed", "n_spans"}]
     keyed = _keyed(docs.select(*own))
     found = spans.select(F.col("place").alias("_place"), F.col("check").alias("_check"), F.col("spans").alias("_spans"))
