@@ -103,6 +103,7 @@ def test_article_without_furniture():
     (None, ""), ("", ""), ("<p>", ""), ("no markup at all, only a few words of the text that is here and that is long enough for a block of its own", None),
     ("<article>Tiny.</article>", "Tiny."), ("<article><p>a<b>b</b>c</p><script>x</script>", "abc"), ("<article><p>&lt;p&gt; &#0; &bogus; &am", "<p> \ufffd &bogus; &am"),
     ("<nav><article><p>Left open before.</p></article>", "Left open before."), ("<article><p title=\"a>b\">quoted</p>", "quoted"),
+    ("<div class='page has-sidebar with-ads'><article><p>Beside it.</p></article><div id='sidebar-2'>no</div></div>", "Beside it."),
     ("<article><p>x<!-- never closed", "x"), ("<article>" + "<div>" * 3000 + "deep", "deep"), ("<article><![CDATA[a<b]]></article>", "a<b"),
 ])
 def test_odd_pages(page, text):

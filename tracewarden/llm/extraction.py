@@ -34,6 +34,7 @@ HINTS = set(
     "disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination paywall popup "
     "promo promotion promoted recommended related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "toolbar topbar widget widgets".split())
+BESIDE = {"has", "with", "no", "without", "not"}  # "has-sidebar" is said of what stands beside a sidebar
 HINT_STARTS = ("advert", "comment", "sidebar", "navbar", "newsletter", "breadcrumb")
 HINT_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Frequent function words of each language.
@@ -74,8 +75,10 @@ def _is_furniture(tag: str, attributes: str, inside: int) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in HINT_ROLES):
             return True
-        if name in ("class", "id") and any(w in HINTS or w.startswith(HINT_STARTS) for w in re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id"):
+            words = re.split(r"[^a-z0-9]+", value)
+            if any((w in HINTS or w.startswith(HINT_STARTS)) and before not in BESIDE for before, w in zip(["", *words], words)):
+                return True
     return False
 
 
