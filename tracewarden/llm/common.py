@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types as python_types
 import uuid
@@ -24,11 +26,23 @@ def kept_in_worker(name: str, key: str, make):
         sys.modules[module] = python_types.ModuleType(module)
     state = sys.modules[module].__dict__
     if state.get("held") != (name, key):
-        state["value"] = None
+        forget_kept()
         state["held"], state["value"] = (name, key), make()
     return state["value"]
 
 
+def forget_kept() -> None:
+    """Give back what an earlier operator kept in this Python worker, for tasks that need the memory."""
+    module = sys.modules.get("tracewarden_worker_state")
+    if module is None or module.__dict__.pop("held", None) is None:
+        return
+    module.__dict__.pop("value", None)
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # else the C library holds on to freed memory
+    if trim is not None:
+        trim(0)
+
+
 def rows_in_chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of bounded size, so that work arrays follow the slice and not the batch."""
     for batch in batches:

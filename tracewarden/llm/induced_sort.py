@@ -21,7 +21,7 @@ import numpy as np
 
 CHUNK = 1 << 18
 SMALL = 12  # chunks up to this size are walked one by one
-MEMORY = 48 << 20
+MEMORY = 24 << 20
 
 
 class ChunkQueue:

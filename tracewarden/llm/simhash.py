@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import store, text_bytes
+from tracewarden.llm.common import forget_kept, rows_in_chunks, store, text_bytes
 from tracewarden.session import discard
 
 SHINGLE_WORDS, HASH_SEED, MAX_BITS = 4, 42, 4
@@ -49,7 +49,8 @@ def fingerprint(text: bytes) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(place, check, fp)``: id (a null one comes last), hash of the text, fingerprint as a signed long; null texts count as empty."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget_kept()
+        for batch in rows_in_chunks(batches):
             fps = np.array([fingerprint(t) for t in text_bytes(batch.column(2))], "<u8").view(np.int64)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps)], ["place", "check", "fp"])
 

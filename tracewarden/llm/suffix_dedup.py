@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import rows_in_chunks, store
+from tracewarden.llm.common import forget_kept, rows_in_chunks, store
 from tracewarden.llm.induced_sort import repeated_starts
 from tracewarden.session import discard
 
 LENGTH, WINDOW = 200, 32  # bytes of a repeated string, bytes of a hashed window inside it
-SHARD_BYTES, KEY_LIMIT = 8 << 20, 30_000
+SHARD_BYTES, KEY_LIMIT = 4 << 20, 15_000
 MULTIPLIER = 0xD6E8FEB86659FD93
 CUT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_spans", T.LongType())])
 
@@ -101,8 +101,9 @@ def key_runs(texts: list[bytes], length: int, window: int):
 
 def _runs(length: int, window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
-            for part in rows_in_chunks([batch], 2 << 20):
+            for part in rows_in_chunks([batch], 1 << 20):
                 texts = part.column(2).to_pylist()
                 number, start, starts, key, hint = key_runs(texts, length, window)
                 which = pa.array(number)
@@ -117,6 +118,7 @@ def _cut(length: int):
     from xxhash import xxh3_128_digest
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         names = ["key", "piece", "count", "bytes", "place", "check", "start"]
         seen: dict = {}
 
@@ -148,7 +150,7 @@ def _cut(length: int):
                             column.append(value)
                 if out[0]:
                     yield record(*out)
-                if len(seen) > 300_000:
+                if len(seen) > 150_000:
                     yield from totals()
         yield from totals()
     return rows
@@ -156,6 +158,7 @@ def _cut(length: int):
 
 def _sort_shards(length: int, shard_bytes: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         ids, pieces, counts, size = [], [], [], 0  # the shard: distinct pieces of whole keys
         group: dict = {}  # piece -> [count, bytes] of the key being read
         group_key = None

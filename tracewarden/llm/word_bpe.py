@@ -15,7 +15,7 @@ import numpy as np
 
 from tracewarden.llm.common import kept_in_worker
 
-MAX_WORDS = 800_000  # words whose ids a worker keeps; after that it starts afresh
+MAX_WORDS = 700_000  # words whose ids a worker keeps; after that it starts afresh
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 
 
