@@ -26,24 +26,33 @@ FAN_OUT, QUERY_CHUNK = 16, 256
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
-def fingerprint(text: bytes) -> int:
-    """Majority bits of the XXH64 of all word shingles; 0 for a text without words."""
+def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """The XXH64 of all shingles of ``size`` words, one of all words if there are fewer; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not words:
-        return 0
-    if len(words) <= SHINGLE_WORDS:
-        return xxh64_intdigest(b" ".join(words), HASH_SEED)
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxh64_intdigest(line, HASH_SEED)], "<u8")
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
-    begins, ends = starts[:len(words) - SHINGLE_WORDS + 1].tolist(), (starts[SHINGLE_WORDS:] - 1).tolist()
-    total, n = np.zeros(64, np.int64), len(begins)
-    for at in range(0, n, 65536):
-        hashes = np.array([xxh64_intdigest(line[a:b], HASH_SEED) for a, b in zip(begins[at:at + 65536], ends[at:at + 65536])], "<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    begins, ends = starts[:len(words) - size + 1].tolist(), (starts[size:] - 1).tolist()
+    return np.fromiter((xxh64_intdigest(line[a:b], HASH_SEED) for a, b in zip(begins, ends)), "<u8", len(begins))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word of the bits that more than half of the hashes have; 0 without hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        total += np.unpackbits(hashes[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes) -> int:
+    """Majority bits of the XXH64 of all word shingles; 0 for a text without words."""
+    return majority(shingle_hashes(text))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -54,11 +63,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in text_bytes(batch.column(2))], "<u8").view(np.int64)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps)], ["place", "check", "fp"])
 
-    picked = docs.select(*_place_and_check(), F.col("text").cast("string").alias("text"))
+    picked = docs.select(*place_and_check(), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(rows, "place long, check long, fp long")
 
 
-def _place_and_check() -> list:
+def place_and_check() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("check")]
 
 
@@ -276,9 +285,13 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROUP
 
     Of rows that share this doc_id the one with the smallest text hash stays, and one of rows that share that too.
     """
-    marked, classes = _classes(docs, max_bits, group_limit)
+    return one_of_each(docs, *_classes(docs, max_bits, group_limit))
+
+
+def one_of_each(docs: DataFrame, marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """``keep_one`` for rows ``marked`` (place, check, fp) of the classes ``(fp, root, low)``."""
     chosen = marked.join(classes, "fp").where(F.col("place") == F.col("low")).groupBy("root").agg(
         F.first("low").alias("_place"), F.min("check").alias("_check")).select("_place", "_check")
-    place, check = _place_and_check()
+    place, check = place_and_check()
     keyed = docs.withColumns({"_place": place, "_check": check})
     return keyed.join(chosen, ["_place", "_check"], "left_semi").dropDuplicates(["_place", "_check"]).select(*docs.columns)
