@@ -111,6 +111,17 @@ def test_odd_pages(page, text):
     assert got == text if text is not None else isinstance(got, str)
 
 
+@pytest.mark.parametrize("attributes, kept", [
+    ('style="overflow:hidden"', True), ('style="overflow: hidden"', True), ('data-hidden="false"', True), ('title="hidden gems"', True), ("title='the hidden id=comment'", True),
+    ('data-id="comment-7"', True), ('data-role="banner"', True), ('data-class="sidebar"', True), ("data-x=a/hidden", True), ('class="text" class="sidebar"', True),
+    ("hidden", False), ('hidden=""', False), ("HIDDEN", False), ('style="overflow:hidden" hidden', False), ("aria-hidden = 'true'", False), ('aria-hidden="false"', True),
+    ('data-id="x"id="comment-7"', False), ("role=banner", False),
+])
+def test_attributes_are_whole_names(attributes, kept):
+    page = f"<body><div {attributes}><article><p>Words of the article.</p></article></div></body>"
+    assert extraction.main_text(page) == ("Words of the article." if kept else "")
+
+
 def test_blocks_without_article_take_neighbours():
     good = "The house of the family is in the middle of the town and it was built by a man who had come there with his brother, who is not in it any more. " * 2
     page = f"<body><p>{good}</p><p>So be it.</p><p>{good}</p><ul><li><a href=1>Home</a></li><li><a href=2>News and weather</a></li></ul><p>Call us</p></body>"

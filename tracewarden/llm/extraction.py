@@ -53,7 +53,7 @@ STOPS_LOW, STOPS_HIGH = 0.12, 0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?|\"[^\"]*\"|'[^']*'", re.S)  # name and value, or a stray quoted text
 WORD = re.compile(r"\w+")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 
@@ -71,8 +71,12 @@ def _is_furniture(tag: str, attributes: str, inside: int) -> bool:
         return True
     if tag in MAIN or tag in ("html", "body") or not attributes:
         return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+    seen = set()
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if name in seen:  # of repeated attributes the first holds
+            continue
+        seen.add(name)
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in HINT_ROLES):
             return True
         if name in ("class", "id"):
