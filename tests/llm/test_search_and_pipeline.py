@@ -47,6 +47,26 @@ def test_recall_of_the_index(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [None, 0.0, 0.002])
+def test_recall_beside_a_dense_spot(spark, spread):
+    rng = np.random.default_rng(12)
+    matrix = rng.normal(size=(6000, 64)) / np.sqrt(64)
+    if spread is not None:  # a third of the rows are equal, or nearly so
+        matrix = np.concatenate([matrix, matrix[7] + spread * rng.normal(size=(3000, 64))])[rng.permutation(9000)]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(matrix.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in multi_index.search(table).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = []
+    for q in range(0, len(matrix), 20):
+        scores = matrix @ matrix[q]
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(len(scores)), -scores.round(12)))[:20]
+        if np.sort(np.linalg.norm(matrix - matrix[q], axis=1))[500] > 0.1:
+            shares.append(len(found[q] & set(best.tolist())) / 20)  # of queries outside the spot
+    assert len(shares) > 200 and np.mean(shares) >= 0.9
+
+
 def test_search_of_nothing(spark):
     table = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert multi_index.search(table).count() == 0

@@ -1,8 +1,9 @@
 """Nearest neighbours by largest inner product from an inverted multi-index.
 
 The two halves of a vector are quantised apart, which gives ``centroids ** 2`` cells.  A query walks the pairs of centroids in
-falling order of their summed inner products, taken from a heap, until the cells on its way hold the wanted share of the rows;
-all rows in them are scored exactly.  The cells of one left centroid lie together, so that a query travels once to each left
+falling order of their summed inner products, taken from a heap, until the cells on its way hold the wanted share of the vectors;
+all rows in them are scored exactly.  Copies count once towards the share, and a cell as ``HOT_CELL`` times the mean one at most, so
+that equal or nearly equal vectors do not use it up: their rows come on top.  The cells of one left centroid lie together, so that a query travels once to each left
 centroid it visits, with the right ones it wants.  Each left centroid's rows are dealt into blocks of bounded size; queries
 stream past a block.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tracewarden.session import discard, materialize
 
 CENTROIDS, SAMPLE_ROWS, ROUNDS = 32, 20_000, 12
-BLOCK_ROWS, SHARE, LEAST = 4096, 0.5, 2000
+BLOCK_ROWS, SHARE, HOT_CELL = 4096, 0.6, 4
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -41,10 +42,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def cluster(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Centroids by Lloyd rounds on the sample; an emptied centroid moves to the point farthest from its own."""
+    """Centroids by Lloyd rounds on the sample; an emptied centroid moves to the point farthest from its own.
+
+    The first ones are drawn with chances of squared distance, so that a dense spot does not take many of them.
+    """
     rng = np.random.default_rng(seed)
     distinct = np.unique(points, axis=0)
-    centers = distinct[rng.permutation(len(distinct))[:k]].copy()
+    chosen = [int(rng.integers(len(distinct)))]
+    far = ((distinct - distinct[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k and far.any():
+        chosen.append(int(rng.choice(len(distinct), p=far / far.sum())))
+        far = np.minimum(far, ((distinct - distinct[chosen[-1]]) ** 2).sum(1))
+    centers = distinct[chosen].copy()
     for _ in range(ROUNDS):
         away = (points ** 2).sum(1)[:, None] - 2 * points @ centers.T + (centers ** 2).sum(1)
         nearest = away.argmin(1)
@@ -128,15 +137,15 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for each row whose vec_id is divisible by ``every``.
 
-    ``share``: part of all rows a query scores at least.  A table without usable vectors gives no rows.
+    ``share``: part of the different vectors that a query scores, dense cells counted as ``HOT_CELL`` mean ones.  A table without usable vectors gives no rows.
     """
     vectors = usable(rows)
-    total = vectors.count()
+    total = vectors.select(F.xxhash64("vector")).distinct().count()
     if not total:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     part = min(1.0, 1.2 * SAMPLE_ROWS / total)
-    unit = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = np.array([r.vector for r in vectors.where(unit < part).limit(SAMPLE_ROWS).select("vector").toLocalIterator()], np.float64)
+    unit = F.pmod(F.xxhash64("vector", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = np.array([r.vector for r in vectors.where(unit < part).select("vector").distinct().limit(SAMPLE_ROWS).toLocalIterator()], np.float64)
     if not len(sample):
         sample = np.array([vectors.first().vector], np.float64)
     half = max(1, sample.shape[1] // 2)
@@ -151,10 +160,13 @@ def search(
     columns = len(second)
     placed = materialize(vectors.mapInArrow(place, "vec_id long, vector array<double>, cell int"))
     sizes = np.zeros(len(first) * columns, np.int64)
-    for r in placed.groupBy("cell").count().collect():  # one row per cell: centroids squared at most
-        sizes[r.cell] = r["count"]
+    budget = np.zeros(len(sizes), np.int64)
+    by_vector = placed.groupBy("cell", F.xxhash64("vector").alias("v")).count()
+    for r in by_vector.groupBy("cell").agg(F.sum("count").alias("n"), F.count("*").alias("different")).collect():  # centroids squared at most
+        sizes[r.cell], budget[r.cell] = r.n, r.different
+    budget = np.minimum(budget, int(np.ceil(HOT_CELL * budget.sum() / np.count_nonzero(budget))))
     blocks = np.maximum(1, -(-sizes.reshape(-1, columns).sum(1) // block_rows))
-    wanted = min(total, max(LEAST, int(share * total)))
+    wanted = int(np.ceil(share * budget.sum()))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +177,7 @@ def search(
                 which, rows_, block, cells = [], [], [], []
                 for q in range(len(part)):
                     visited: dict[int, list[int]] = {}
-                    for cell in walk(left[q], right[q], sizes, wanted):
+                    for cell in walk(left[q], right[q], budget, wanted):
                         visited.setdefault(cell // columns, []).append(cell % columns)
                     for row, own in visited.items():
                         for b in range(blocks[row]):
