@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import extraction, imatch, mixing, multi_index, packing, simhash, suffix_dedup, token_store, toxicity, url_filter
+from tracewarden.llm import (
+    centroid_clusters, extraction, imatch, large_item_packing, lexical_search, mixing, multi_index, packing, simhash, suffix_dedup, token_store,
+    toxicity, url_filter,
+)
 from tracewarden.llm.common import table
 from tracewarden.session import scratch_dir
 
@@ -127,3 +130,66 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query("""
+WITH words AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sizes AS (SELECT row_no, doc_id, CAST(len(terms) AS BIGINT) AS n FROM words WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+postings AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(terms) AS term FROM words) GROUP BY row_no, term),
+asked AS (
+  SELECT DISTINCT item_no, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS item_no FROM benchmark)),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+scores AS (
+  SELECT a.item_no, a.item_id, s.row_no, s.doc_id,
+         CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * s.n * t.docs) // t.terms)))) AS BIGINT) AS score
+  FROM asked a JOIN postings p USING (term) JOIN weights w USING (term) JOIN sizes s ON p.row_no = s.row_no, totals t
+  GROUP BY a.item_no, a.item_id, s.row_no, s.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = large_item_packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), END_ID)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def _round_sql(before: str, number: int) -> str:
+    """One round of assignment to the centroids ``before`` and their new means."""
+    return f"""
+a{number} AS MATERIALIZED (
+  SELECT row_no, arg_min(c, (distance, c)) AS c, min(distance) AS distance
+  FROM (SELECT v.row_no, m.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i]))) AS distance FROM vectors v, {before} m)
+  GROUP BY row_no),
+m{number} AS MATERIALIZED (
+  SELECT c, coalesce(moved, x) AS x FROM {before} LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS moved
+    FROM (SELECT a.c, i, CAST(sum(v.x[i]) AS BIGINT) AS s, count(*) AS n FROM a{number} a JOIN vectors v USING (row_no), range(1, 65) r(i) GROUP BY a.c, i)
+    GROUP BY c) USING (c)),"""
+
+
+@query("""
+WITH numbered AS (SELECT *, row_number() OVER () AS row_no FROM embeddings),
+vectors AS MATERIALIZED (
+  SELECT row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS x FROM numbered
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), row_no) - 1 AS c, x FROM vectors
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), row_no) <= 16),"""
+       + _round_sql("m0", 1) + _round_sql("m1", 2) + _round_sql("m2", 3) + _round_sql("m3", 4) + """
+sums AS (SELECT c, CAST(sum(distance) AS BIGINT) AS own, CAST(sum(sum(distance)) OVER () AS BIGINT) AS total FROM a4 GROUP BY c)
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance, s.own AS cluster_inertia, s.total AS inertia,
+       sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a4 a JOIN vectors v USING (row_no) JOIN sums s ON a.c = s.c JOIN m3 m ON a.c = m.c""")
+def op13_equal_average_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
