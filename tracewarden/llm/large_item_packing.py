@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm.common import store
 from tracewarden.llm.word_bpe import encoder
-from tracewarden.session import discard, spread
+from tracewarden.session import spread
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary, doc_tokens long, part int, place long"
 
@@ -166,6 +167,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096)
 
     ``docs``: doc_id, text; other columns are left out.  A null text is a document of the end id alone; rows that repeat a doc_id, or
     hold a null one, are packed each on its own; an empty table gives no pieces.  Sequences are numbered from 0 without gaps.
+    The pieces stay in the shared folder, since the result is read from them.
     """
     pieces = cut(docs, tokenizer_path, end_id, length)
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
@@ -178,21 +180,16 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096)
     first_run = np.searchsorted(starts[:, 0], np.arange(length + 2))
     sequence, offset, each = (np.array([getattr(r, name) for r in runs], np.int64) for name in ("sequence", "offset", "each"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths, ranks = batch.column(3).to_numpy(), batch.column(6).to_numpy()
-            at = np.zeros(len(ranks), np.int64)
-            for n in np.unique(lengths):
-                own = lengths == n
-                low = first_run[n]
-                at[own] = low + np.searchsorted(starts[low:first_run[n + 1], 1], ranks[own], side="right") - 1
-            steps = ranks - starts[at, 1] if len(at) else ranks
-            yield pa.record_batch(
-                [*batch.columns[:6], pa.array(sequence[at] + steps // each[at]), pa.array(offset[at] + steps % each[at] * lengths)],
-                ["doc_id", "piece", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    ranked = pieces.join(bases.select("part", "length", "base"), ["part", "length"]).select(
-        "doc_id", "piece", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("place")).alias("rank"))
-    packed = store(ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"))
-    discard(pieces, bases)
-    return packed
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        length_, rank = lengths.to_numpy(), ranks.to_numpy()
+        at = np.zeros(len(rank), np.int64)
+        for n in np.unique(length_):
+            own = length_ == n
+            at[own] = first_run[n] + np.searchsorted(starts[first_run[n]:first_run[n + 1], 1], rank[own], side="right") - 1
+        step = rank - starts[at, 1]
+        return pd.DataFrame({"sequence_id": sequence[at] + step // each[at], "offset": offset[at] + step % each[at] * length_})
+
+    # only lengths and ranks go through Python; the ids stay where they are
+    placed = pieces.join(bases.select("part", "length", "base"), ["part", "length"]).withColumn("_at", place("length", F.col("base") + F.col("place")))
+    return placed.select("doc_id", "piece", "start", "length", "ids", "doc_tokens", "_at.sequence_id", "_at.offset")
