@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -146,6 +147,24 @@ def test_removal_matches_brute_force(spark, shard, limit):
 
 # ---- I-Match
 
+def test_repeated_rows_cost_one(spark):
+    text = " ".join(f"word{i}" for i in range(500))
+    rows = [(7, text)] * 1600 + [(8, "before " + text[:900]), (9, "short"), (9, "short"), (None, text + " and more"), (10, "alone " * 3)]
+    started = time.time()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert time.time() - started < 60 and len(got) == len(rows)
+    whole = {(r.doc_id, r.n_removed, r.n_spans) for r in got}
+    assert whole == {(7, len(text), 1), (8, 900, 1), (9, 0, 0), (None, len(text), 1), (10, 0, 0)}
+
+
+def test_keys_with_many_bytes_are_counted(spark):
+    rows = [(i, chr(97 + i % 2) * (3000 + i)) for i in range(12)] + [(20, "x" * 50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, *w) for (i, _), w in zip(rows, slow_removal([t for _, t in rows], 40))]
+    got = suffix_dedup.remove_repeats(table, 40, 8, key_bytes=1000).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want)
+
+
 def test_fingerprints_tell_edits_from_strangers(spark):
     rng = random.Random(8)
     common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(3000)]

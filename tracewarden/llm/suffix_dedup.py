@@ -11,8 +11,11 @@ of text (their starts, plus the bytes the last one covers).
    are all equal needs no sorting.
 4. What repeats is mapped back to every place of the piece, merged for each text and cut out.
 
-A key with more than ``key_limit`` distinct pieces, as under a passage that very many texts share, would fill one task.
-Its strings are told apart by their 128-bit hashes instead and counted in a distributed way, which finds the same strings.
+A key with more than ``key_limit`` distinct pieces, or more than ``key_bytes`` of them, as under a passage that very many texts share
+or a byte that many long texts repeat, would fill one task.  Its strings are told apart by their 128-bit hashes instead and
+counted in a distributed way, which finds the same strings.
+
+Rows that are wholly equal, id included, are counted first and take part once; such a text repeats from end to end.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from tracewarden.llm.induced_sort import repeated_starts
 from tracewarden.session import discard
 
 LENGTH, WINDOW = 200, 32  # bytes of a repeated string, bytes of a hashed window inside it
-SHARD_BYTES, KEY_LIMIT = 4 << 20, 15_000
+SHARD_BYTES, KEY_LIMIT, KEY_BYTES = 4 << 20, 15_000, 16 << 20
 MULTIPLIER = 0xD6E8FEB86659FD93
 CUT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_spans", T.LongType())])
 
@@ -139,8 +142,6 @@ def _cut(length: int):
                 out = ([], [], [], [], [], [], [])
                 for place, check, text, found in zip(*[c.to_pylist() for c in part.columns]):
                     flat = np.array(found, np.int64).reshape(-1, 3)
-                    if len(flat) > 1:
-                        flat = np.unique(flat, axis=0)  # rows that are wholly equal give their places twice
                     for key, start, starts in flat.tolist():
                         data = text[start:start + starts + length - 1]
                         piece = xxh3_128_digest(data)
@@ -250,12 +251,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
         "_bytes": text.cast("binary"), "_place": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_check": F.xxhash64(text)})
 
 
+def _each_once(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``keyed`` without the repetitions of a row, and the keys of the rows that had any, or None."""
+    again = store(keyed.groupBy("place", "check").count().where("count > 1").select("place", "check"))
+    if not again.limit(1).count():
+        discard(again)
+        return keyed, None
+    single = keyed.join(again, ["place", "check"], "left_anti").select(*keyed.columns)
+    several = keyed.join(again, ["place", "check"], "left_semi").groupBy("place", "check").agg(F.first("bytes").alias("bytes"))
+    return single.unionByName(several), again
+
+
 def repeated_spans(
-    docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, key_limit: int = KEY_LIMIT,
+    docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, key_limit: int = KEY_LIMIT, key_bytes: int = KEY_BYTES,
 ) -> DataFrame:
     """``(place, check, spans)``: byte spans to remove, flat and unmerged, of each text of ``docs`` that has any."""
     keyed = _keyed(docs).select(F.col("_place").alias("place"), F.col("_check").alias("check"), F.col("_bytes").alias("bytes"))
-    runs = store(keyed.where(F.octet_length("bytes") >= length).mapInArrow(
+    keyed, again = _each_once(keyed.where(F.octet_length("bytes") >= length))
+    runs = store(keyed.select("place", "check", "bytes").mapInArrow(
         _runs(length, window), "key long, place long, check long, start int, starts int, hint int"))
     repeated = runs.groupBy("key").agg(F.sum("hint").alias("n")).where(F.col("n") > 1).select("key")
     places = runs.join(repeated, "key").groupBy("place", "check").agg(
@@ -264,17 +277,20 @@ def repeated_spans(
         _cut(length), "key long, piece binary, count long, bytes binary, place long, check long, start int"))
     discard(runs)
     counted = cut.where(F.col("count") > 0).select("key", "piece", "count", "bytes")
-    sizes = cut.where((F.col("count") > 0) & F.col("place").isNotNull()).groupBy("key").count()  # rows that brought their bytes
-    hot = store(sizes.where(F.col("count") > key_limit).select("key"))
+    sizes = cut.where((F.col("count") > 0) & F.col("place").isNotNull()).groupBy("key").agg(  # rows that brought their bytes
+        F.count("*").alias("n"), F.sum(F.octet_length("bytes")).alias("size"))
+    hot = store(sizes.where((F.col("n") > key_limit) | (F.col("size") > key_bytes)).select("key"))
     some_hot = bool(hot.limit(1).count())
     cool = counted.join(hot, "key", "left_anti") if some_hot else counted
     found = cool.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length, shard_bytes), "piece binary, spans array<long>")
     sorted_ = store(found.unionByName(_spans_of_hot_keys(counted, hot, length)) if some_hot else found)
     placed = cut.where(F.col("place").isNotNull()).select("piece", "place", "check", "start")
-    spans = placed.join(sorted_, "piece").groupBy("place", "check").agg(
-        F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("start")))).alias("spans"))
-    result = store(spans)
-    discard(cut, sorted_, hot)
+    found = placed.join(sorted_, "piece").select("place", "check", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
+    if again is not None:
+        whole = keyed.join(again, ["place", "check"], "left_semi").select("place", "check", F.array(F.lit(0).cast("long"), F.octet_length("bytes").cast("long")).alias("spans"))
+        found = found.unionByName(whole)
+    result = store(found.groupBy("place", "check").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    discard(cut, sorted_, hot, again)
     return result
 
 
@@ -298,7 +314,7 @@ def cut_out(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, key_limit: int = KEY_LIMIT,
+    docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, key_limit: int = KEY_LIMIT, key_bytes: int = KEY_BYTES,
 ) -> DataFrame:
     """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``; columns of these names are replaced.
 
@@ -306,7 +322,7 @@ def remove_repeats(
     included.  Null texts count as empty; rows with a null doc_id take part; rows that are wholly equal are copies of each
     other.  An empty table stays empty.
     """
-    spans = repeated_spans(docs, length, window, shard_bytes, key_limit)
+    spans = repeated_spans(docs, length, window, shard_bytes, key_limit, key_bytes)
     own = [c for c in docs.columns if c not in {"kept", "n_bytes", "n_removed", "n_spans"}]
     keyed = _keyed(docs.select(*own))
     found = spans.select(F.col("place").alias("_place"), F.col("check").alias("_check"), F.col("spans").alias("_spans"))
