@@ -2,7 +2,7 @@
 
 The two halves of a vector are quantised apart, which gives ``centroids ** 2`` cells.  A query walks the pairs of centroids in
 falling order of their summed inner products, taken from a heap, until the cells on its way hold the wanted share of the vectors;
-all rows in them are scored exactly.  Copies count once towards the share, and a cell as ``HOT_CELL`` times the mean one at most, so
+and at least k + 1 ids; all rows in them are scored exactly.  Copies count once towards the share, and a cell as ``HOT_CELL`` times the mean one at most, so
 that equal or nearly equal vectors do not use it up: their rows come on top.  The cells of one left centroid lie together, so that a query travels once to each left
 centroid it visits, with the right ones it wants.  Each left centroid's rows are dealt into blocks of bounded size; queries
 stream past a block.
@@ -75,16 +75,17 @@ def assign(vectors: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.nda
     return i * len(second) + j
 
 
-def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
-    """Cells in falling order of ``left[i] + right[j]`` until they hold ``wanted`` rows; empty cells are passed over."""
+def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, wanted: int, owned: np.ndarray | None = None, least: int = 0) -> list[int]:
+    """Cells in falling order of ``left[i] + right[j]`` until they hold ``wanted`` of ``sizes`` and ``least`` of ``owned``; empty ones are passed over."""
     by_left, by_right = np.argsort(-left, kind="stable"), np.argsort(-right, kind="stable")
-    heap, seen, cells, held = [(-(left[by_left[0]] + right[by_right[0]]), 0, 0)], {(0, 0)}, [], 0
-    while heap and held < wanted:
+    heap, seen, cells, held, own = [(-(left[by_left[0]] + right[by_right[0]]), 0, 0)], {(0, 0)}, [], 0, 0
+    while heap and (held < wanted or own < least):
         _, a, b = heapq.heappop(heap)
         cell = int(by_left[a]) * len(right) + int(by_right[b])
         if sizes[cell]:
             cells.append(cell)
             held += int(sizes[cell])
+            own += 0 if owned is None else int(owned[cell])
         for x, y in ((a + 1, b), (a, b + 1)):
             if x < len(left) and y < len(right) and (x, y) not in seen:
                 seen.add((x, y))
@@ -165,6 +166,9 @@ def search(
     for r in by_vector.groupBy("cell").agg(F.sum("count").alias("n"), F.count("*").alias("different")).collect():  # centroids squared at most
         sizes[r.cell], budget[r.cell] = r.n, r.different
     budget = np.minimum(budget, int(np.ceil(HOT_CELL * budget.sum() / np.count_nonzero(budget))))
+    owned = np.zeros(len(sizes), np.int64)  # different ids, each in one cell: a walk over k + 1 of them meets k others
+    for r in placed.groupBy("vec_id").agg(F.min("cell").alias("cell")).groupBy("cell").count().collect():
+        owned[r["cell"]] = r["count"]
     blocks = np.maximum(1, -(-sizes.reshape(-1, columns).sum(1) // block_rows))
     wanted = int(np.ceil(share * budget.sum()))
 
@@ -177,7 +181,7 @@ def search(
                 which, rows_, block, cells = [], [], [], []
                 for q in range(len(part)):
                     visited: dict[int, list[int]] = {}
-                    for cell in walk(left[q], right[q], budget, wanted):
+                    for cell in walk(left[q], right[q], budget, wanted, owned, k + 1):
                         visited.setdefault(cell // columns, []).append(cell % columns)
                     for row, own in visited.items():
                         for b in range(blocks[row]):
