@@ -1,5 +1,6 @@
 """Toxicity, extraction, URL rules and mixing: planted cases, brute force and awkward rows."""
 
+import random
 import zlib
 
 import duckdb
@@ -129,6 +130,45 @@ def test_blocks_without_article_take_neighbours():
     assert lines[:3] == [good.strip(), "So be it.", good.strip()] and not any("Home" in line for line in lines)
 
 
+@pytest.mark.parametrize("inner, text", [
+    ('<p>See also <a href=x>Alpha paper</a></p>', "See also Alpha paper"), ('<p><a href=x>Alpha paper</a></p>', "Alpha paper"),
+    ('<p>Let <math><mi>x</mi><annotation>x_1</annotation></math> be at least 2.</p>', "Let x be at least 2."),
+    ('<p>Press the <button>Save</button> key to end.</p>', "Press the Save key to end."), ("<button>Share</button>", None), ("<p><button>Like</button> | <button>Share</button></p>", None),
+    ("<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul>", None),
+    ("<p>Sources: <a href=1>one</a>, <a href=2>two</a>, <a href=3>three</a>.</p>", "Sources: one, two, three."), ('<p class="notice">Gone</p>', None),
+])
+def test_links_and_buttons_inside_an_article(inner, text):
+    around = "The house of the family is in the middle of the town and it was built by a man who had come there with his brother."
+    got = extraction.main_text(f"<nav><a href=0>Home</a></nav><article><p>{around}</p>{inner}<p>{around}</p></article><footer>x</footer>").split("\n")
+    assert got == [around] + ([text] if text else []) + [around]
+
+
+def test_planted_articles():
+    rng = random.Random(3)
+    stops = extraction.STOP_WORDS["en"]
+
+    def sentence(n):
+        return " ".join(rng.choice(stops) if rng.random() < 0.4 else "w" + str(rng.randrange(500)) for _ in range(n)).capitalize() + "."
+
+    furniture = [
+        lambda: "<nav>" + "".join(f"<a href=/{i}>{sentence(1)}</a> " for i in range(5)) + "</nav>", lambda: f"<aside><p>{sentence(30)}</p></aside>",
+        lambda: f'<div class="ad">{sentence(20)}</div>', lambda: f'<div id="cookie-notice"><p>{sentence(40)}</p></div>', lambda: f"<form><label>{sentence(4)}</label><input></form>",
+        lambda: f"<script>var t = '{sentence(8)}';</script>", lambda: f'<section class="comments"><p>{sentence(50)}</p></section>', lambda: f"<!-- {sentence(9)} -->",
+    ]
+    for _ in range(300):
+        want, body = [], ""
+        for _ in range(rng.randrange(1, 12)):
+            text, kind = sentence(rng.randrange(8, 60)), rng.randrange(5)
+            cut_ = text.split(" ")
+            body += (f"<p>{text}", f"<p><b>{text}</b></p>", f"<h2>{text}</h2>", f"<blockquote>{text}</blockquote>",
+                     f"<p>{cut_[0]} <a href=x>{' '.join(cut_[1:-1])}</a>\n{cut_[-1]}</p>")[kind]
+            want.append(text)
+            if rng.random() < 0.3:
+                body += rng.choice(furniture)()
+        page = "<html><body>" + "".join(rng.choice(furniture)() for _ in range(3)) + f"<article>{body}</article>" + "".join(rng.choice(furniture)() for _ in range(3)) + "<footer>&copy;</footer>"
+        assert extraction.main_text(page).split("\n") == want
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None), (2, "v", "<article>" + "word and the " * 30_000, "")], "page_id long, url string, html string, text string")
     out = extraction.extract(pages).toPandas()

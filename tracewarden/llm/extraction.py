@@ -3,6 +3,12 @@
 Pass one labels blocks by themselves: link density, length and stop-word density, and the element they stand in.  Pass two
 gives each ambiguous short block the label of its nearest decided neighbours.  A page is read once, tag by tag; tags
 need not be closed.
+
+Outside of an article link density may tell a block from text; inside one, a block with words around its links is never a menu.
+There a block of links alone is dropped in a run of ``LINK_RUN`` or more, and open otherwise.  Text of a button goes with the
+sentence it stands in, a block of buttons alone goes.  Dropped whole, with all they hold: the elements of ``FURNITURE``,
+elements with a word of ``HINTS`` (or one that begins like ``HINT_STARTS``) in class or id, a role of ``HINT_ROLES``, ``hidden`` or
+``aria-hidden="true"``; a class such as ``has-sidebar`` does not count.  So an article's own paragraph of class ``notice`` goes too.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from tracewarden.llm.common import rows_in_chunks
 
 # Elements by what they mean for a reader of the page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template textarea title select option button iframe object svg canvas audio video head datalist math".split())
+HIDDEN = set("script style noscript template textarea title select option iframe object svg canvas audio video head datalist annotation annotation-xml".split())
 RAW = set("script style textarea title iframe noscript template".split())
 FURNITURE = set("nav header footer aside form menu dialog".split())
 MAIN = {"article", "main"}
@@ -48,7 +54,7 @@ STOP_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta "
           "ser son dos también fue".split(),
 }
-MAX_LINK_DENSITY, SHORT, LONG = 0.34, 70, 200
+MAX_LINK_DENSITY, SHORT, LONG, LINK_RUN = 0.34, 70, 200, 3
 STOPS_LOW, STOPS_HIGH = 0.12, 0.25
 
 TOKEN = re.compile(
@@ -61,7 +67,8 @@ RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag
 @dataclass
 class Block:
     text: str
-    linked: int  # characters inside links
+    linked: int  # characters inside links and buttons
+    bare: str  # "link" or "button" if all its words are inside such elements, else empty
     furniture: bool  # inside an element that is not the article
     inside: int  # number of the article or main element it stands in, 0 outside
 
@@ -90,34 +97,39 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in their order, white space folded, character references decoded."""
     blocks: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, furniture, hidden
-    furniture = hidden = links = linked = 0
+    furniture = hidden = links = buttons = linked = pressed = 0
     mains: list[int] = []
-    n_mains, parts, at = 0, [], 0
+    n_mains, parts, free, at = 0, [], [], 0
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts, free, linked, pressed
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, linked, furniture > 0, mains[-1] if mains else 0))
-            parts, linked = [], 0
+                alone = linked and not WORD.search(html.unescape("".join(free)))
+                blocks.append(Block(text, linked, ("link" if pressed < linked else "button") if alone else "", furniture > 0, mains[-1] if mains else 0))
+            parts, free, linked, pressed = [], [], 0, 0
 
     def close(place: int) -> None:
-        nonlocal furniture, hidden, links
+        nonlocal furniture, hidden, links, buttons
         while len(stack) > place:
             tag, bad, unseen = stack.pop()
             furniture -= bad
             hidden -= unseen
             links -= tag == "a"
+            buttons -= tag == "button"
             if tag in MAIN and mains:
                 mains.pop()
 
     def say(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, pressed
         if text and not hidden:
             parts.append(text)
-            if links:
+            if links or buttons:
                 linked += len(text.strip())
+                pressed += len(text.strip()) if buttons else 0
+            else:
+                free.append(text)
 
     size = len(page)
     while at < size:
@@ -177,6 +189,7 @@ def blocks_of(page: str) -> list[Block]:
         furniture += bad
         hidden += unseen
         links += tag == "a"
+        buttons += tag == "button"
     flush()
     return blocks
 
@@ -193,9 +206,20 @@ def first_labels(blocks: list[Block]) -> list[bool | None]:
     known = stop_density(free, stops) >= STOPS_LOW / 2  # else a language without a list: length decides
     has_main = any(b.inside and not b.furniture for b in blocks)
     labels: list[bool | None] = []
-    for block, own in zip(blocks, words):
+    run = [0] * len(blocks)  # how many blocks of links alone stand together around each
+    for at in range(len(blocks)):
+        if blocks[at].bare == "link" and not run[at]:
+            end = at
+            while end < len(blocks) and blocks[end].bare == "link" and blocks[end].inside == blocks[at].inside:
+                end += 1
+            run[at:end] = [end - at] * (end - at)
+    for block, own, together in zip(blocks, words, run):
         links, size, density = block.linked / max(1, len(block.text)), len(block.text), stop_density(own, stops)
-        if block.furniture or has_main and not block.inside or links > MAX_LINK_DENSITY and not (block.inside and size >= SHORT and links < 0.8):
+        if block.furniture or block.bare == "button" or has_main and not block.inside:
+            labels.append(False)
+        elif block.inside and block.bare:
+            labels.append(False if together >= LINK_RUN else None)
+        elif not block.inside and links > MAX_LINK_DENSITY:
             labels.append(False)
         elif block.inside:
             labels.append(True if size >= LONG or size >= SHORT and (density >= STOPS_LOW or not known) else None)
