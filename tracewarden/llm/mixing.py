@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.llm.common import store
+
 PART_RATE = 16.0  # a larger rate is the sum of independent draws of at most this rate, so that exp(-rate) stays exact
 PART_TERMS = 80  # P(Poisson(16) > 80) is far below the resolution of the hashed number
 
@@ -20,15 +22,20 @@ def unit_number(*parts: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def poisson_count(rate: Column, number: Column) -> Column:
-    """The smallest k whose cumulative Poisson probability reaches ``number``."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).cast("long").alias("k"))
+def poisson_steps(rate: Column) -> Column:
+    """Cumulative Poisson probabilities of 0, 1, ... up to one less than ``PART_TERMS``, added up in this order."""
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
 
     def step(state: Column, k: Column) -> Column:
         p = state["p"] * rate / k
-        return F.when(state["c"] >= number, state).otherwise(F.struct(p.alias("p"), (state["c"] + p).alias("c"), (state["k"] + 1).alias("k")))
+        return F.struct(p.alias("p"), F.concat(state["c"], F.array(F.element_at(state["c"], -1) + p)).alias("c"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PART_TERMS - 1)), start, step, lambda s: s["c"])
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(PART_TERMS)), start, step, lambda s: s["k"])
+def poisson_count(steps: Column, number: Column) -> Column:
+    """The smallest k whose cumulative Poisson probability reaches ``number``, at most ``PART_TERMS``."""
+    return F.size(F.filter(steps, lambda c: c < number)).cast("long")
 
 
 def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None) -> DataFrame:
@@ -44,6 +51,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None
     else:
         given = weights.groupBy(F.col("source").alias("_source")).agg(F.sum(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"))
         weighed = sizes.join(given, sizes.source.eqNullSafe(given["_source"]), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    weighed = store(weighed)  # one row per source; read back, its size tells Spark whether to broadcast it
     sums = weighed.agg(
         F.sum("size").alias("all_size"), F.sum(F.when(F.col("size") > 0, F.col("weight"))).alias("all_weight")).first()
     target = float(total if total is not None else sums.all_size or 0.0)
@@ -60,16 +68,17 @@ def replicate(docs: DataFrame, rate_table: DataFrame, seed: int = 42) -> DataFra
     A row whose count is 0 is gone.  Rows that repeat a doc_id repeat alike; a null doc_id counts as an id of its own.
     """
     own = [c for c in docs.columns if c not in {"rate", "copy", "shuffle_key"}]
-    given = rate_table.select(F.col("source").alias("_source"), F.col("rate"))
+    # what depends on the source alone is worked out once for each source, ahead of the join
+    parts = F.greatest(F.ceil(F.col("rate") / PART_RATE).cast("int"), F.lit(1))
+    given = rate_table.select(F.col("source").alias("_source"), F.col("rate"), parts.alias("_parts")).withColumn(
+        "_steps", poisson_steps(F.col("rate") / F.col("_parts")))
     joined = docs.select(*own).join(given, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    parts = F.ceil(F.col("rate") / PART_RATE).cast("int")
     draws = F.transform(
-        F.sequence(F.lit(1), F.greatest(parts, F.lit(1))),
-        lambda i: poisson_count(F.col("rate") / F.greatest(parts, F.lit(1)), unit_number(F.lit(seed), key, i)))
+        F.sequence(F.lit(1), F.col("_parts")), lambda i: poisson_count(F.col("_steps"), unit_number(F.lit(seed), key, i)))
     count = F.aggregate(draws, F.lit(0).cast("long"), lambda a, b: a + b)
     # the count stands in the plan once, so it is worked out once for each row
-    copies = joined.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), count), lambda k: k > 0)))
+    copies = joined.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), count), lambda k: k > 0))).drop("_parts", "_steps")
     return copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(seed)), key, F.col("copy").cast("string"))))
 
 
