@@ -1,5 +1,6 @@
 """Token store and packing: exact round trips against the whole tokenizer."""
 
+import json
 import zlib
 
 import numpy as np
@@ -27,6 +28,35 @@ def test_words_give_the_ids_of_the_whole_text(ids):
         assert words.encode(text) == ids[text].tobytes(), text
 
 
+def other_rules(tmp_path):
+    """The vocabulary file without lower-casing: words are then no longer what the quick way takes them for."""
+    rules = json.loads(open(vocabulary_path(), encoding="utf-8").read())
+    rules["normalizer"]["normalizers"] = rules["normalizer"]["normalizers"][:2]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    return str(path)
+
+
+def test_other_rules_go_through_the_whole_encoder(tmp_path):
+    words = WordIds(other_rules(tmp_path))
+    assert WordIds(vocabulary_path()).by_word and not words.by_word
+    for text in TEXTS[:6]:
+        assert words.encode(text) == words.whole(text or "")
+
+
+def test_large_ids_are_stored_whole(spark, tmp_path):
+    rules = json.loads(open(vocabulary_path(), encoding="utf-8").read())
+    rules["added_tokens"].append({"id": 70_000, "content": "<|far|>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    rules["model"]["vocab"]["<|far|>"] = 70_000
+    path = tmp_path / "far.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    folder = token_store.write_store(frame(spark, [(1, "one <|far|> two")]), str(tmp_path / "far"), str(path), 1)
+    assert 70_000 in token_store.fetch(spark, folder, [1]).first().ids
+    assert spark.read.parquet(f"{folder}/dictionary").first().bytes_per_id == 4
+    folder = token_store.write_store(frame(spark, [(1, "one")]), str(tmp_path / "end"), vocabulary_path(), 90_000)
+    assert token_store.fetch(spark, folder, [1]).first().ids[-1] == 90_000
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, ids string")
 

@@ -49,11 +49,10 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, bytes_pe
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tail, spent = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 0
+        words, tail = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = _serialize(words.encode(text) + tail, bytes_per_id)
-                spent += len(ids)
+                ids = _serialize(words.encode(text) + tail, bytes_per_id)[:SAMPLE_BYTES // 8]  # training only: no text fills the sample
                 yield pa.record_batch([pa.array([ids], pa.binary())], ["ids"])
 
     samples, size = [], 0
@@ -69,7 +68,12 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, bytes_pe
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, bytes_per_id: int = 2, level: int = 3) -> str:
-    """Encode ``docs`` (doc_id, text) and write them in ascending doc_id order; gives the folder."""
+    """Encode ``docs`` (doc_id, text) and write them in ascending doc_id order; gives the folder.
+
+    Two bytes per id are enough for ids up to 65535; a larger vocabulary or end id takes four, whatever ``bytes_per_id`` says.
+    """
+    if max(end_id, encoder(tokenizer_path).highest()) >> 16:
+        bytes_per_id = 4
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = train_dictionary(docs, tokenizer_path, end_id, bytes_per_id)

@@ -3,10 +3,13 @@
 The file's rules make every run of non-space characters independent of its neighbours, so ids are kept per word and
 a text costs one look-up for each of its words.  Words of letters go straight to the file's merge model; anything else,
 and any text with separators that Python and the file's rules see differently, goes through the whole encoder.
+
+That holds for files with the rules below only.  With any other file every text goes through the whole encoder.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -17,6 +20,22 @@ from tracewarden.llm.common import kept_in_worker
 
 MAX_WORDS = 700_000  # words whose ids a worker keeps; after that it starts afresh
 CONTROL_SPACE = re.compile("[\x1c-\x1f]")
+# The rules of a vocabulary file under which words can be encoded one by one.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
+def follows_word_rules(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    added = all(not t.get("single_word") and not t.get("normalized") and not re.search(r"\s", t["content"]) for t in rules.get("added_tokens", []))
+    return added and rules.get("model", {}).get("type") == "BPE" and all(rules.get(name) == value for name, value in WORD_RULES.items())
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,11 +56,16 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.by_word = follows_word_rules(path)
         self.stems: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def highest(self) -> int:
+        """The largest id of the vocabulary, added tokens included."""
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+
     def _stem(self, stem: str) -> bytes:
         ids = self.stems.get(stem)
         if ids is None:
@@ -66,7 +90,7 @@ class WordIds(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if CONTROL_SPACE.search(text):
+        if not self.by_word or CONTROL_SPACE.search(text):
             return self.whole(text)
         if len(self) > MAX_WORDS:
             self.clear()
