@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewarden.llm import multi_index, simhash, suffix_dedup
+from tracewarden.llm import multi_index, suffix_dedup
+
+from .test_similar import slow_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +69,39 @@ def test_recall_beside_a_dense_spot(spark, spread):
     assert len(shares) > 200 and np.mean(shares) >= 0.9
 
 
+@pytest.mark.parametrize("n", [2, 10, 25, 40])
+def test_small_tables_give_all_candidates(spark, n):
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(n)]
+    rows += [(1, [float(x) for x in rng.normal(size=6)]) for _ in range(30)]  # many vectors of one id are one candidate
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in sorted(multi_index.search(table, every=1).collect(), key=lambda r: (r.query_id, r.rank))]
+    per_query = {}
+    for q, rank, i, _ in got:
+        per_query.setdefault(q, []).append((rank, i))
+    assert sorted(per_query) == list(range(n))
+    for q, found in per_query.items():
+        assert [r for r, _ in found] == list(range(1, min(20, n - 1) + 1)) and len({i for _, i in found} - {q}) == len(found)
+        if n <= 21:
+            assert {i for _, i in found} == set(range(n)) - {q}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables not here")
+def test_recall_on_the_given_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").toPandas()
+    matrix, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
+    found = {}
+    for r in multi_index.search(table).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        scores = matrix @ matrix[at]
+        scores[at] = -np.inf
+        shares.append(len(found[ids[at]] & set(ids[np.argsort(-scores)[:20]].tolist())) / 20)
+    assert np.mean(shares) >= 0.9
+
+
 def test_search_of_nothing(spark):
     table = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert multi_index.search(table).count() == 0
@@ -94,8 +129,9 @@ def test_pipeline_stages(spark):
         if name in ("toxicity", "near_copies"):
             assert after.exceptAll(before).count() == 0
         if name == "near_copies":
-            classes = simhash.near_copies(before).select("component_id").distinct().count()
-            assert after.count() == classes
+            rows = sorted((r.doc_id, r.text) for r in before.collect())
+            groups, _ = slow_groups([t for _, t in rows])
+            assert sorted(r.doc_id for r in after.collect()) == [rows[i][0] for i in sorted(set(groups))]
         if name == "suffix_dedup":
             assert after.count() == before.count()
             assert suffix_dedup.remove_repeats(before).agg(F.sum("n_removed")).first()[0] > 0 or after.exceptAll(before).count() == 0
