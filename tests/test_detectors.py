@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import detectors, envelope, isolation_forest
+from tracewarden.operators import detectors, envelope, isolation_forest, one_class_svm
 from tracewarden.operators import vectors as vec
 from tracewarden.operators.ranking import column_order_statistics, quantiles
+from tracewarden.operators.reduction import summed
 
 
 def planted(seed=0, n=300, d=5, bad=12):
@@ -142,3 +143,26 @@ def test_train_fit_is_capped(vectors):
     assert len(model.components) == 4
     assert np.allclose(model.mean, x[:5].mean(axis=0))
     assert reduced.count() == 12
+
+
+@pytest.mark.parametrize("rows,parts,copies", [(500, 1, 0), (500, 3, 400), (20_000, 6, 0), (20_000, 5, 7000)])
+def test_one_class_over_the_table_is_the_solver_on_all_rows(vectors, rows, parts, copies):
+    x = np.random.default_rng(21).normal(size=(rows, 6))
+    x[:copies] = x[0]
+    weights, phase = one_class_svm.feature_map(0.1, 6, features=32)
+    df = vectors(x).select("embedding").repartition(parts).cache()
+    got = one_class_svm.solve_table(df, 0.07, weights, phase, rows, 8)
+    want = one_class_svm.solve(one_class_svm.mapped(x, weights, phase), 0.07, 8)
+    assert np.abs(got - want).max() < 1e-9
+
+
+def test_one_class_cut_among_equal_scores(vectors):
+    x = np.concatenate([np.zeros((5000, 3)), np.ones((10, 3))])
+    weights, phase = one_class_svm.feature_map(0.5, 3, features=16)
+    got = one_class_svm.solve_table(vectors(x).select("embedding").repartition(4), 0.3, weights, phase, len(x), 4)
+    assert np.abs(got - one_class_svm.solve(one_class_svm.mapped(x, weights, phase), 0.3, 4)).max() < 1e-9
+
+
+def test_sums_in_levels(spark):
+    parts = spark.range(0, 200, 1, 40).selectExpr("array(double(id), 1D) AS sums")
+    assert summed(parts, 4).tolist() == [199 * 100, 200] and summed(parts.limit(0)) is None

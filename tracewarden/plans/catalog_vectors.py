@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewarden.operators import clustering, dbscan, detectors, lof, metrics
+from tracewarden.operators import clustering, dbscan, detectors, lof, metrics, one_class_svm
 from tracewarden.operators import vectors as vec
 from tracewarden.operators.neighbors import knn_join
 from tracewarden.operators.silhouette import silhouette
 from tracewarden.plans.catalog_rows import fixed
-from tracewarden.plans.inputs import PLANE_SQL, VECTORS_SQL, flows, plane, vectors
+from tracewarden.plans.inputs import FLOWS_SQL, PLANE_SQL, VECTORS_SQL, flows, plane, vectors
 from tracewarden.plans.registry import query, table
 from tracewarden.plans.workflows import unsupervised_result
 from tracewarden.session import materialize, side_by_side
@@ -120,6 +120,32 @@ def detect_one_class_svm(spark, sf_dir):
     return detectors.detect(vectors(spark, sf_dir), "OneClassSVM", 0.1)
 
 
+def _one_class_sql(features: int, rounds: int, nu: float) -> str:
+    """Rounds of the one-class solver on two columns, with the draws of its feature map as literals."""
+    normals, phase = one_class_svm.feature_map(0.5, 2, features=features)
+    waves = ", ".join(f"sqrt(2.0 / {features}) * cos(sqrt(2 * gamma) * ({float(normals[0, j])!r} * x + {float(normals[1, j])!r} * y) + {float(phase[j])!r})" for j in range(features))
+    each = lambda text: "[" + ", ".join(text.format(j=j) for j in range(1, features + 1)) + "]"
+    parts = [f"""pairs AS (SELECT row_id, sbytes / 100000.0 AS x, rate * 10.0 AS y FROM flows),
+width AS (SELECT 1.0 / (2 * (sum(x * x + y * y) / (2 * count(*)) - pow(sum(x + y) / (2 * count(*)), 2))) AS gamma, greatest({nu} * count(*), 1.0) AS cap, count(*) AS n FROM pairs),
+z AS MATERIALIZED (SELECT row_id, [{waves}] AS z FROM pairs, width),
+w0 AS MATERIALIZED (SELECT {each('avg(z[{j}])')} AS w FROM z)"""]
+    for t in range(rounds):
+        parts.append(f"""s{t} AS MATERIALIZED (SELECT z, list_dot_product(z, w) AS s FROM z, w{t}),
+cut{t} AS (SELECT min(s) AS cut FROM (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM s{t}), width WHERE i >= least(floor(cap), n - 1)),
+corner{t} AS (SELECT {each('(coalesce(sum(z[{j}]) FILTER (WHERE s < cut), 0) + (max(cap) - count(*) FILTER (WHERE s < cut)) / count(*) FILTER (WHERE s = cut) * sum(z[{j}]) FILTER (WHERE s = cut)) / max(cap)')} AS c
+  FROM s{t}, cut{t}, width),
+w{t + 1} AS MATERIALIZED (SELECT list_transform(range(1, {features + 1}), lambda j: w[j] + least(1.0, greatest(0.0, -list_dot_product(w, d) / list_dot_product(d, d))) * d[j]) AS w
+  FROM (SELECT w, {each('c[{j}] - w[{j}]')} AS d FROM w{t}, corner{t}))""")
+    return f"WITH {FLOWS_SQL}, " + ", ".join(parts) + f" SELECT row_id, round(list_dot_product(z, w), 6) AS score FROM z, w{rounds}"
+
+
+@query(_one_class_sql(8, 3, 0.05))
+def one_class_two_columns(spark, sf_dir):
+    """Three rounds of the one-class solver over all flows, on two of their columns and a small feature map."""
+    rows = flows(spark, sf_dir).select("row_id", F.array(F.col("sbytes") / 100000.0, F.col("rate") * 10.0).alias("embedding"))
+    return one_class_svm.one_class_scores(rows, 0.05, features=8, rounds=3).withColumn("score", F.round("score", 6))
+
+
 @query()
 def detect_elliptic_envelope(spark, sf_dir):
     return detectors.detect(vectors(spark, sf_dir), "EllipticEnvelope", 0.1)
