@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import metrics, supervised
+from tracewarden.operators import extra_trees, metrics, supervised
 from tracewarden.operators.silhouette import centroid_silhouette, silhouette
 from tracewarden.sources import loaders
 
@@ -119,6 +119,59 @@ def test_extra_trees_on_separable_data(vectors, classes):
     assert sum(r["class_distribution"]) == 150
 
 
+def slow_tree(x, y, weight, node, tries, grown):
+    """One tree node by node; a leaf holds its class shares."""
+    counts = np.bincount(y, minlength=len(weight))
+    ident = np.array([node], np.uint64)
+    order = [c for c in np.argsort(extra_trees.draw(ident, x.shape[1], 0)[0]) if x[:, c].min() < x[:, c].max()][:tries]
+    if (counts > 0).sum() < 2 or not order:
+        grown.append(len(x))
+        return counts * weight / (counts * weight).sum()
+    u = extra_trees.draw(ident, x.shape[1], 1)[0]
+    best = None
+    for c in order:
+        lo, hi = x[:, c].min(), x[:, c].max()
+        line = lo + u[c] * (hi - lo)
+        left = x[:, c] <= (lo if line >= hi else line)
+        cost = 0.0
+        for side in (left, ~left):
+            w = np.bincount(y[side], minlength=len(weight)) * weight
+            cost += w.sum() - (w * w).sum() / w.sum()
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, c, lo if line >= hi else line, left)
+    _, c, line, left = best
+    children = [extra_trees.child_of(ident, side)[0] for side in (0, 1)]
+    return c, line, slow_tree(x[left], y[left], weight, children[0], tries, grown), slow_tree(x[~left], y[~left], weight, children[1], tries, grown)
+
+
+def slow_shares(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+@pytest.mark.parametrize("task_rows", [100_000, 60, 7])
+def test_extra_trees_are_those_of_one_machine(spark, task_rows):
+    rng = np.random.default_rng(31)
+    x = np.c_[rng.normal(size=(300, 3)), rng.integers(0, 3, 300), np.ones(300)]
+    x[:90] = x[0]  # equal rows with different labels: a leaf that no split can clear, larger than a task
+    y, fold = rng.integers(0, 3, 300), rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), int(fold[i])) for i in range(300)], "row_id long, features array<double>, label int, fold int")
+    got = {r.row_id: r for r in extra_trees.out_of_fold(df, 3, 3, trees=4, task_rows=task_rows).collect()}
+    assert len(got) == 300
+    for f in range(3):
+        own = fold != f
+        weight = extra_trees.class_weights(np.bincount(y[own], minlength=3).astype(float))
+        leaves, forest = [], []
+        for t in range(4):
+            forest.append(slow_tree(x[own], y[own], weight, extra_trees.root_of(np.array([f * 4 + t]), 42)[0], 2, leaves))
+        for i in np.flatnonzero(~own):
+            want = np.mean([slow_shares(tree, x[i]) for tree in forest], axis=0)
+            assert got[i].scores == pytest.approx(want, abs=1e-9) and got[i].fold == f
+    one = extra_trees.out_of_fold(df, 3, 3, trees=4, task_rows=task_rows, only=1).collect()
+    assert {r.row_id: r.scores for r in one} == {i: pytest.approx(got[i].scores) for i in np.flatnonzero(fold == 1)}
+
+
 def test_flow_files_are_fitted_on_their_union(spark):
     rng = np.random.default_rng(2)
     def flows(n, protos):
