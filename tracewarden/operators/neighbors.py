@@ -6,6 +6,9 @@ pruned as in the pivot-based kNN joins of the literature (Lu et al., VLDB 2012):
 belongs to the cell of its nearest pivot, and a corpus row travels to a cell only if the triangle
 inequality allows it to be among the k nearest of some query there.
 
+A few queries of checked size are sent to the corpus instead: every task keeps the k best of its rows for each of them, so that
+the corpus is read once and neither shuffled nor sorted.
+
 Copies of one vector can be most of the corpus.  No more than the k+1 smallest ids of a copy group
 can be anyone's neighbours, so the corpus is cut to those by a rank limit that runs before its
 shuffle.
@@ -24,6 +27,7 @@ BLOCK_ROWS = 8192
 MAX_PIVOTS = 512
 CHUNK_CELLS = 4_000_000
 BROADCAST_BYTES = 64 << 20  # a corpus of one block and no more than this goes to every task
+FEW_QUERIES, FEW_BYTES = 1024, 16 << 20  # so few queries go to every task, and the corpus stays where it is
 EDGE_SCHEMA = "query_id long, neighbor_id long, rank int, distance double"
 
 
@@ -180,11 +184,15 @@ def knn_join(
         raise ValueError(f"unknown metric: {metric}")
     q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    c = limit_copies(c, k + 1)
     size = c.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
     if size["n"] <= block_rows and size["n"] * size["d"] * 8 <= BROADCAST_BYTES:
-        return _edges_to_broadcast(q, c, k, metric, exclude_self)
-    edges = _blocked_edges(q, materialize(c), size["n"], k, metric, exclude_self, block_rows)
+        return _edges_to_broadcast(q, limit_copies(c, k + 1), k, metric, exclude_self)
+    few = q.limit(FEW_QUERIES + 1).count()
+    if few <= FEW_QUERIES and few * size["d"] * 8 <= FEW_BYTES:
+        edges = edges_from_corpus(q, c, k, metric, exclude_self)
+    else:
+        c = materialize(limit_copies(c, k + 1))
+        edges = _blocked_edges(q, c, c.count(), k, metric, exclude_self, block_rows)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return edges.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "distance")
 
@@ -203,6 +211,39 @@ def _edges_to_broadcast(q: DataFrame, c: DataFrame, k: int, metric: str, exclude
     return q.mapInPandas(run, EDGE_SCHEMA)
 
 
+def without_copies(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndarray:
+    """Rows that stay if only the ``keep`` smallest ids of equal vectors do."""
+    turns = np.random.default_rng(0).integers(1, 1 << 63, vectors.shape[1], np.uint64) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        mark = ((vectors + 0.0).view(np.uint64) * turns).sum(axis=1)
+        mark ^= mark >> np.uint64(29)
+    order = np.lexsort((ids, mark))
+    place = np.arange(len(order))
+    fresh = np.r_[True, (np.diff(mark[order]) != 0) | (vectors[order][1:] != vectors[order][:-1]).any(axis=1)] if len(order) else np.zeros(0, bool)
+    return order[place - np.maximum.accumulate(np.where(fresh, place, 0)) < keep]
+
+
+def edges_from_corpus(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    """The k best of every task's corpus rows for each of a few queries (of checked size), ranked within the task."""
+    rows = q.toPandas()
+    state = q.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _stack(rows["v"])))
+
+    def run(batches):
+        ids, queries = state.value
+        best = _no_edges()
+        for pdf in batches:
+            if len(pdf) and len(ids):
+                own, vectors = pdf["id"].to_numpy(), _stack(pdf["v"])
+                kept = without_copies(own, vectors, k + 1)
+                found = block_top_k(ids, queries, own[kept], vectors[kept], k, metric, exclude_self)
+                best = pd.concat([best, found]) if len(best) else found
+                best = best.sort_values(["query_id", "distance", "neighbor_id"])
+                best = best[best.groupby("query_id").cumcount() < k]
+        yield best
+
+    return c.mapInPandas(run, EDGE_SCHEMA)
+
+
 def _blocked_edges(q, c, n_corpus: int, k: int, metric: str, exclude_self: bool, block_rows: int) -> DataFrame:
     """Candidate edges of pruned blocks; with cosine, zero vectors are handled apart, since no bound holds for them.
 

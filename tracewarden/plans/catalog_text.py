@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewarden.functions import prompts
 from tracewarden.functions.text import SPACE
-from tracewarden.operators import inference, reasoning, retrieval
+from tracewarden.operators import inference, neighbors, reasoning, retrieval, vector_index
 from tracewarden.plans.catalog_rows import fixed
 from tracewarden.plans.inputs import ANSWERS_SQL, VECTORS_SQL, answers, vectors
 from tracewarden.plans.registry import query, table
-from tracewarden.session import spread
+from tracewarden.session import scratch_dir, spread
 
 WORDS_SQL = f"""words AS (SELECT doc_id AS row_id, unnest(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda t: t <> '')) AS token FROM documents),
 slots AS (SELECT row_id, CAST(('0x' || md5(token)[1:7]) AS BIGINT) % 64 AS j, CASE WHEN CAST(('0x' || md5(token)[8:8]) AS INTEGER) < 8 THEN 1 ELSE -1 END AS s FROM words),
@@ -117,6 +119,23 @@ def similarity_search(spark, sf_dir):
     return retrieval.search(rows, rows).withColumn("distance", F.round("distance", 9))
 
 
+@query(f"""WITH {VECTORS_SQL}, {HITS_SQL} SELECT query_id, neighbor_id, rank, round(distance, 9) AS distance FROM hits WHERE query_id % 25 = 3""")
+def stored_index_search(spark, sf_dir):
+    """An index built on half of the vectors, the other half appended, opened anew and searched for every 25th one."""
+    rows = described(spark, sf_dir)
+    folder = f"{scratch_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    vector_index.build(rows.where("row_id % 2 = 0"), folder, rows_per_cell=100)
+    vector_index.append(rows.where("row_id % 2 = 1"), folder)
+    return vector_index.search(rows.where("row_id % 25 = 3"), folder).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"WITH {VECTORS_SQL}, {HITS_SQL} SELECT query_id, neighbor_id, rank, round(distance, 9) AS distance FROM hits WHERE query_id % 100 = 7")
+def similarity_search_few(spark, sf_dir):
+    """Few queries, which travel to the corpus."""
+    rows = described(spark, sf_dir)
+    return neighbors.knn_join(rows.where("row_id % 100 = 7"), rows, 3, exclude_self=False, block_rows=50).withColumn("distance", F.round("distance", 9))
+
+
 @query(f"WITH {VECTORS_SQL}, {HITS_SQL}, {CONTEXT_SQL} SELECT query_id, context, found FROM ctx")
 def retrieval_context(spark, sf_dir):
     rows = described(spark, sf_dir)
