@@ -8,6 +8,7 @@ import sys
 import types as python_types
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,10 +59,27 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
-def store(df: DataFrame) -> DataFrame:
+LONG_ROWS = 1000  # rows of whole texts that travel to Python at once: a task holds a batch on either side
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` for what is worked out meanwhile; None leaves the session's setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows is not None:
+        spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def store(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder in a dense codec and read back; ``discard`` drops it."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(df.sparkSession, batch_rows):
+        df.write.option("compression", "zstd").parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.scratch_path = path
     return stored

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.common import forget_kept, rows_in_chunks, store
+from tracewarden.llm.common import LONG_ROWS, forget_kept, rows_in_chunks, store
 from tracewarden.llm.induced_sort import repeated_starts
 from tracewarden.session import discard
 
@@ -223,6 +223,7 @@ def _strings(length: int):
     from xxhash import xxh3_128_digest
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             for part in rows_in_chunks([batch], 1 << 20, 256):
                 for piece, count, data in zip(*[part.column(i).to_pylist() for i in range(3)]):
@@ -237,7 +238,7 @@ def _strings(length: int):
 def _spans_of_hot_keys(counted: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     """``(piece, spans)`` for the pieces of keys that are too large for a task."""
     pieces = counted.join(hot, "key", "left_semi").groupBy("piece").agg(F.sum("count").alias("count"), F.max("bytes").alias("bytes"))
-    strings = store(pieces.mapInArrow(_strings(length), "piece binary, at long, count long, string binary"))
+    strings = store(pieces.mapInArrow(_strings(length), "piece binary, at long, count long, string binary"), LONG_ROWS)
     repeated = strings.groupBy("string").agg(F.sum("count").alias("n")).where("n > 1").select("string")
     # at most one entry per byte of a piece
     return strings.join(repeated, "string").groupBy("piece").agg(
@@ -269,12 +270,12 @@ def repeated_spans(
     keyed = _keyed(docs).select(F.col("_place").alias("place"), F.col("_check").alias("check"), F.col("_bytes").alias("bytes"))
     keyed, again = _each_once(keyed.where(F.octet_length("bytes") >= length))
     runs = store(keyed.select("place", "check", "bytes").mapInArrow(
-        _runs(length, window), "key long, place long, check long, start int, starts int, hint int"))
+        _runs(length, window), "key long, place long, check long, start int, starts int, hint int"), LONG_ROWS)
     repeated = runs.groupBy("key").agg(F.sum("hint").alias("n")).where(F.col("n") > 1).select("key")
     places = runs.join(repeated, "key").groupBy("place", "check").agg(
         F.flatten(F.collect_list(F.array(F.col("key"), F.col("start").cast("long"), F.col("starts").cast("long")))).alias("found"))
     cut = store(keyed.join(places, ["place", "check"]).select("place", "check", "bytes", "found").mapInArrow(
-        _cut(length), "key long, piece binary, count long, bytes binary, place long, check long, start int"))
+        _cut(length), "key long, piece binary, count long, bytes binary, place long, check long, start int"), LONG_ROWS)
     discard(runs)
     counted = cut.where(F.col("count") > 0).select("key", "piece", "count", "bytes")
     sizes = cut.where((F.col("count") > 0) & F.col("place").isNotNull()).groupBy("key").agg(  # rows that brought their bytes
@@ -283,7 +284,7 @@ def repeated_spans(
     some_hot = bool(hot.limit(1).count())
     cool = counted.join(hot, "key", "left_anti") if some_hot else counted
     found = cool.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shards(length, shard_bytes), "piece binary, spans array<long>")
-    sorted_ = store(found.unionByName(_spans_of_hot_keys(counted, hot, length)) if some_hot else found)
+    sorted_ = store(found.unionByName(_spans_of_hot_keys(counted, hot, length)) if some_hot else found, LONG_ROWS)
     placed = cut.where(F.col("place").isNotNull()).select("piece", "place", "check", "start")
     found = placed.join(sorted_, "piece").select("place", "check", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
     if again is not None:
