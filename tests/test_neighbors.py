@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracewarden.operators import vector_index
 from tracewarden.operators.lof import local_outlier_factor
 from tracewarden.operators.neighbors import knn_join
 
@@ -28,7 +31,7 @@ def test_knn_matches_brute_force(vectors, block_rows, metric):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 6)) + rng.integers(0, 4, size=(400, 1)) * 5
     df = vectors(x)
-    assert rows(knn_join(df, df, 4, metric=metric, block_rows=block_rows)) == brute(x, x, 4, metric, exclude_self=True)
+    assert rows(knn_join(df, df, 4, metric=metric, block_rows=block_rows, few_queries=0)) == brute(x, x, 4, metric, exclude_self=True)
 
 
 @pytest.mark.parametrize("block_rows", [10_000, 60])
@@ -38,7 +41,7 @@ def test_knn_with_a_third_of_copies(vectors, block_rows):
     x[100:200] = x[100]
     x[250:260] = x[250]
     df = vectors(x)
-    assert rows(knn_join(df, df, 3, block_rows=block_rows)) == brute(x, x, 3, exclude_self=True)
+    assert rows(knn_join(df, df, 3, block_rows=block_rows, few_queries=0)) == brute(x, x, 3, exclude_self=True)
 
 
 def test_knn_between_two_tables(vectors):
@@ -86,3 +89,55 @@ def test_cosine_with_zero_vectors(vectors, block, own):
         distance = [1 - float(x[i] @ x[j]) / (norms[i] * norms[j]) if norms[i] * norms[j] else 1.0 for j in range(len(x))]
         want = sorted((round(d, 12), j) for j, d in enumerate(distance) if not own or j != i)[:3]
         assert [j for _, j in sorted(got[i])] == [j for _, j in want], i
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_few_queries_travel_to_the_corpus(vectors, metric):
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(900, 4)) + 2
+    x[300:600] = x[300]  # a third of equal rows
+    corpus, queries = vectors(x).repartition(5), vectors(x[[0, 5, 300, 301, 899]])
+    got = knn_join(queries, corpus, 4, metric=metric, exclude_self=False, block_rows=50)
+    assert rows(got) == brute(x[[0, 5, 300, 301, 899]], x, 4, metric)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scans = plan.rsplit("MapInPandas", 1)[1]
+    assert "Exchange hashpartitioning" not in scans and "Sort" not in scans  # nothing below the corpus pass
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_index_finds_what_a_join_finds(spark, vectors, tmp_path, metric):
+    rng = np.random.default_rng(42)
+    x = rng.normal(size=(1200, 3)) + rng.integers(0, 6, size=(1200, 1)) * 9
+    x[100:300] = x[100]
+    if metric == "cosine":
+        x[500:505] = 0
+    corpus = vectors(x).withColumn("line", F.col("row_id").cast("string"))
+    folder = vector_index.build(corpus.where("row_id < 700"), str(tmp_path / "index"), metric, rows_per_cell=60)
+    vector_index.append(corpus.where("row_id >= 700"), folder)
+    asked = corpus.where("row_id in (0, 100, 299, 502, 800, 1199)")
+    got = vector_index.search(asked, folder, 5)
+    want = knn_join(asked, corpus, 5, metric=metric, exclude_self=False)
+    assert rows(got) == rows(want)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    one = vector_index.search(corpus.where("row_id = 800"), folder, 2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    pruned = re.search(r"PartitionFilters: \[(.*?)\], ", plan)[1]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100")
+    wanted = re.search(r"cell#\d+ (?:IN \(([^)]*)\)|INSET ([-\d, ]+)|= (-?\d+))", pruned)
+    assert wanted, pruned
+    cells = vector_index.open_rows(spark, folder).select("cell").distinct().count()
+    assert len((wanted[1] or wanted[2] or wanted[3]).split(",")) <= (cells / 2 if metric == "l2" else cells)
+    many = vector_index.search(corpus, folder, 2, exclude_self=True)
+    assert rows(many) == rows(knn_join(corpus, corpus, 2, metric=metric))
+    assert "line" in vector_index.open_rows(spark, folder).columns
+
+
+def test_index_without_finished_batches_is_not_read(spark, vectors, tmp_path):
+    rng = np.random.default_rng(43)
+    corpus = vectors(rng.normal(size=(50, 3)))
+    folder = vector_index.build(corpus.where("row_id < 25"), str(tmp_path / "index"))
+    corpus.where("row_id >= 25").select("row_id", "embedding", F.lit(0.0).alias("away"), F.lit("broken").alias("batch"), F.lit(0).alias("cell")).write.partitionBy(
+        "batch", "cell").mode("append").parquet(f"{folder}/rows")
+    assert vector_index.open_rows(spark, folder).count() == 25
+    empty = vector_index.build(corpus.limit(0), str(tmp_path / "empty"))
+    assert vector_index.search(corpus.limit(2), empty, 3).count() == 0

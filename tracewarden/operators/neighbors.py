@@ -174,7 +174,7 @@ def _send(pivots, reach, count_only: bool):
 
 def knn_join(
     queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", vec_col: str = "embedding",
-    id_col: str = "row_id", exclude_self: bool = True, block_rows: int = BLOCK_ROWS,
+    id_col: str = "row_id", exclude_self: bool = True, block_rows: int = BLOCK_ROWS, few_queries: int = FEW_QUERIES,
 ) -> DataFrame:
     """V4: ``(query_id, neighbor_id, rank, distance)`` for the k nearest corpus rows of every query.
 
@@ -187,8 +187,8 @@ def knn_join(
     size = c.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
     if size["n"] <= block_rows and size["n"] * size["d"] * 8 <= BROADCAST_BYTES:
         return _edges_to_broadcast(q, limit_copies(c, k + 1), k, metric, exclude_self)
-    few = q.limit(FEW_QUERIES + 1).count()
-    if few <= FEW_QUERIES and few * size["d"] * 8 <= FEW_BYTES:
+    few = q.limit(few_queries + 1).count()
+    if few <= few_queries and few * size["d"] * 8 <= FEW_BYTES:
         edges = edges_from_corpus(q, c, k, metric, exclude_self)
     else:
         c = materialize(limit_copies(c, k + 1))

@@ -14,12 +14,14 @@ their own that every search reads.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewarden.operators.neighbors import EDGE_SCHEMA, FEW_BYTES, FEW_QUERIES, _no_edges, _stack, block_top_k, knn_join, without_copies
 
@@ -35,6 +37,10 @@ def _keys(vectors: np.ndarray, metric: str) -> np.ndarray:
     return vectors / np.where(norm > 0, norm, 1.0)
 
 
+def _matrix(vectors: list) -> np.ndarray:
+    return np.array(vectors, np.float64) if vectors else np.zeros((0, 0))
+
+
 def _away(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     sizes = np.einsum("ij,ij->i", points, points)[:, None] + np.einsum("ij,ij->i", pivots, pivots)[None, :]
     return np.sqrt(np.maximum(sizes - 2.0 * (points @ pivots.T), 0.0))
@@ -51,19 +57,26 @@ def build(rows: DataFrame, folder: str, metric: str = "l2", vec_col: str = "embe
     part = vectors.where(F.pmod(F.xxhash64("row_id"), F.lit(1 << 20)) < int(min(1 << 20, max(64, (2 << 20) * wanted // max(1, n)))))
     order = [F.md5(F.col("row_id").cast("string")), F.col("row_id")]
     chosen = part.orderBy(*order).limit(wanted).collect() or vectors.orderBy(*order).limit(wanted).collect()
-    points = _keys(np.array([r["v"] for r in chosen], np.float64).reshape(len(chosen), -1), metric)
+    points = _keys(_matrix([r["v"] for r in chosen]), metric)
     pivots = np.unique(points[np.any(points != 0, axis=1)] if metric == "cosine" else points, axis=0)
     spark = rows.sparkSession
     spark.createDataFrame([(metric, i, p.tolist()) for i, p in enumerate(pivots)] or [(metric, ZERO_CELL, [])], "metric string, cell int, pivot array<double>").coalesce(
         1).write.parquet(f"{folder}/pivots")
+    kept = rows.select(*_kept(rows, vec_col), F.col(vec_col).cast("array<double>").alias("embedding"), F.lit(0.0).alias("away"), F.lit("").alias("batch"), F.lit(0).alias("cell"))
+    spark.createDataFrame([(kept.schema.json(),)], "schema string").coalesce(1).write.parquet(f"{folder}/schema")
     append(rows, folder, vec_col)
     return folder
 
 
+def _kept(rows: DataFrame, vec_col: str) -> list[str]:
+    """The columns that an index keeps as they are."""
+    return [c for c in rows.columns if c not in {vec_col, "embedding", "cell", "batch", "away"}]
+
+
 def _pivots(spark: SparkSession, folder: str) -> tuple[str, np.ndarray]:
     rows = spark.read.schema("metric string, cell int, pivot array<double>").parquet(f"{folder}/pivots").orderBy("cell").collect()  # at most MAX_CELLS
     found = [r["pivot"] for r in rows if r["cell"] != ZERO_CELL]
-    return rows[0]["metric"], np.array(found, np.float64).reshape(len(found), -1)
+    return rows[0]["metric"], _matrix(found)
 
 
 def append(rows: DataFrame, folder: str, vec_col: str = "embedding") -> None:
@@ -82,25 +95,34 @@ def append(rows: DataFrame, folder: str, vec_col: str = "embedding") -> None:
         return pd.DataFrame({"cell": np.where(zero, ZERO_CELL, cell).astype(np.int32), "away": np.where(zero, 0.0, distance)})
 
     batch = uuid.uuid4().hex
-    kept = [c for c in rows.columns if c not in {vec_col, "cell", "batch", "away"}]
+    kept = _kept(rows, vec_col)
     placed = rows.select(*kept, F.col(vec_col).cast("array<double>").alias("embedding")).withColumn("_at", nearest("embedding")).select(
         *kept, "embedding", F.col("_at.away").alias("away"), F.lit(batch).alias("batch"), F.col("_at.cell").alias("cell"))
     # a cell's rows meet in as many tasks as they are dealt to, so that one dense cell does not fill one; few files for small cells
     deal = F.pmod(F.xxhash64("row_id"), F.lit(16))
     placed.repartition("cell", deal).write.partitionBy("batch", "cell").mode("append").parquet(f"{folder}/rows")
-    written = spark.read.parquet(f"{folder}/rows").where(F.col("batch") == batch)
+    written = _stored_rows(spark, folder).where(F.col("batch") == batch)
     facts = written.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"))
     facts.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(f"{folder}/cells")
 
 
+def _stored_rows(spark: SparkSession, folder: str) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(spark.read.parquet(f"{folder}/schema").first()["schema"]))
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
+
+
+def _stored_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("cell int, radius double, n long, d int, batch string").parquet(f"{folder}/cells")
+
+
 def open_rows(spark: SparkSession, folder: str) -> DataFrame:
     """All rows of an index; a filter on ``cell`` reads those partitions alone."""
-    batches = [r["batch"] for r in spark.read.parquet(f"{folder}/cells").select("batch").distinct().collect()]  # one row per append
-    return spark.read.parquet(f"{folder}/rows").where(F.col("batch").cast("string").isin(batches))
+    batches = [r["batch"] for r in _stored_cells(spark, folder).select("batch").distinct().collect()]  # one row per append
+    return _stored_rows(spark, folder).where(F.col("batch").isin(batches))
 
 
 def _cells(spark: SparkSession, folder: str) -> pd.DataFrame:
-    found = spark.read.parquet(f"{folder}/cells").groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n"), F.max("d").alias("d"))
+    found = _stored_cells(spark, folder).groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n"), F.max("d").alias("d"))
     return found.toPandas().sort_values("cell").reset_index(drop=True)  # at most MAX_CELLS + 1 rows
 
 
