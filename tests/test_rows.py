@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewarden.functions import arrays, text
-from tracewarden.operators import encoding, sampling
+from tracewarden.operators import encoding, ranking, sampling
 from tracewarden.sources import loaders, sinks
 
 
@@ -234,13 +234,16 @@ def test_unreadable_templates_are_empty(spark, tmp_path):
     assert [tuple(r) for r in loaders.load_log_templates(spark, str(good)).collect()] == [("E1", "two")]
 
 
-def test_combined_results(spark, tmp_path):
+def test_combined_results(spark, tmp_path, caplog):
     (tmp_path / "results_a.json").write_text('[{"approach": "a", "acc": 0.5}, {"approach": "b", "acc": 1, "eval_type": "x"}]')
     (tmp_path / "results_b.json").write_text('{"approach": "a", "metadata": {"n": 3}}')
     (tmp_path / "results_c.json").write_text("not json {")
     sinks.save_results(spark.createDataFrame([("c", float("nan"))], "approach string, acc double"), "results", "own", str(tmp_path))
     rows = sinks.combine_results(spark, str(tmp_path))
-    assert {r["approach"]: r["n"] for r in sinks.value_counts(rows, "approach").collect()} == {"a": 2, "b": 1, "c": 1}
+    assert [(r["approach"], r["n"]) for r in sinks.value_counts(rows, "approach").collect()] == [("a", 2), ("b", 1), ("c", 1)]
+    skipped = sinks.skipped_files(spark, str(tmp_path)).collect()
+    assert [(r["file"].rsplit("/", 1)[1], r["records"]) for r in skipped] == [("results_c.json", 1)]
+    assert "results_c.json" in caplog.text
     assert {r["eval_type"]: r["n"] for r in sinks.value_counts(rows, "eval_type").collect()} == {"x": 1}
     assert set(rows.columns) == {"approach", "acc", "eval_type", "metadata"}
     assert spark.read.option("header", True).csv(str(tmp_path / "combined_results.csv")).count() == 4
@@ -259,3 +262,15 @@ def test_hash_order_sample_does_not_depend_on_the_filter(spark, n):
     want = [r[0] for r in rows.orderBy(sampling.hash_key("row_id"), "row_id").limit(n).collect()]
     assert [r[0] for r in sampling.first_in_hash_order(rows, n).collect()] == want
     assert {r[0] for r in sampling.first_in_hash_order(rows, n, total=10**9).collect()} == set(want)
+
+
+def test_codes_of_strings_with_a_common_prefix(spark):
+    words = [f"commonprefix{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(w, str(i % 7)) for i, w in enumerate(words)], "a string, b string").repartition(5)
+    codes = encoding.category_codes(df, ["a", "b"], "nan")
+    got = {(r["column_name"], r["value"]): r["code"] for r in codes.collect()}
+    assert got == {("a", w): i for i, w in enumerate(words)} | {("b", str(i)): i for i in range(7)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows make one range
+    placed, parts = ranking.place_in_order(df.select(F.col("a").alias("value")), ["value"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parts.count() == 4 and parts.agg(F.max("_n")).first()[0] < 1500

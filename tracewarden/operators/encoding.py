@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewarden.operators.ranking import order_rank
 from tracewarden.session import materialize
 
 IDENTIFIER_COLUMNS = ["id", "srcip", "sport", "dstip", "dsport", "stime", "ltime", "sttl", "dttl", "ct_state_ttl"]
@@ -28,27 +29,13 @@ def label_from_category(col: Column) -> Column:
 def category_codes(df: DataFrame, columns: list[str], null_word: str) -> DataFrame:
     """Rank of every distinct string per column, from 0: ``(column_name, value, code)``.
 
-    Each column is read alone, so a columnar source is read once in all.  Ranks are places inside a
-    prefix bucket plus the sizes of the buckets before it, so no task sorts a whole column.
+    One pass collects the distinct strings of all columns; they are ranked in ranges cut by the strings themselves, so a prefix that
+    all of them share fills no single task.
     """
-    found = [
-        df.select(F.coalesce(F.col(c).cast("string"), F.lit(null_word)).alias("value")).distinct().select(F.lit(c).alias("column_name"), "value")
-        for c in columns
-    ]
-    pairs = found[0]
-    for other in found[1:]:
-        pairs = pairs.unionByName(other)
-    prefix = F.substring("value", 1, 2)
-    keyed = pairs.withColumn("_prefix", prefix)
-    sizes = keyed.groupBy("column_name", "_prefix").count()
-    before = Window.partitionBy("column_name").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("column_name", "_prefix", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("column_name", "_prefix").orderBy("value")
-    return (
-        keyed.withColumn("_place", F.row_number().over(inside))
-        .join(offsets, ["column_name", "_prefix"])
-        .select("column_name", "value", (F.col("_offset") + F.col("_place") - 1).cast("int").alias("code"))
-    )
+    cells = [F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(c).cast("string"), F.lit(null_word)).alias("value")) for c in columns]
+    found = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.column_name", "cell.value").distinct()
+    ranked = order_rank(found, ["value"], ["column_name"])
+    return ranked.select("column_name", "value", F.col("rank").cast("int").alias("code"))
 
 
 def ordinal_encode(df: DataFrame, columns: list[str], null_word: str, codes: DataFrame | None = None) -> DataFrame:

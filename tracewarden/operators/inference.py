@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewarden.operators.ranking import order_rank
 from tracewarden.session import materialize
 
 
@@ -267,13 +268,8 @@ def fit_tfidf(df: DataFrame, text_col: str = "line") -> TfIdfModel:
     n = df.count()
     found = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(WORDS), F.lit(0)))).alias("term"))
     weighed = found.groupBy("term").agg((F.log(F.lit(n + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
-    ordered = materialize(weighed.repartitionByRange("term").sortWithinPartitions("term").select(
-        "term", "idf", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
-    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # one row per partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    terms = ordered.join(offsets, "_part").select("term", "idf", (F.col("_at") + F.col("_shift")).alias("term_id"))
-    return TfIdfModel(terms, ordered.count(), text_col)
+    terms = order_rank(weighed, ["term"], out="term_id")
+    return TfIdfModel(terms, terms.count(), text_col)
 
 
 def embed_texts(df: DataFrame, text_col: str = "line", embedding_type: str = "backend", vectorizer: TfIdfModel | None = None, **options) -> DataFrame:

@@ -4,46 +4,55 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewarden.session import materialize
+
 IN_PLAN_LIMIT = 200_000  # up to this many rows one exact `percentile` aggregate is used
 
 
-def value_cuts(df: DataFrame, value_col: str, buckets: int = 256) -> list[float]:
-    """Cut points for ``buckets`` roughly even value ranges (one pass, bounded result)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.approxQuantile(value_col, probs, 1.0 / (4 * buckets))
-    return sorted(set(found))
+def place_in_order(df: DataFrame, order: list[str], by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` dealt to sorted ranges whose ends are sampled from the data, with ``_part`` and ``_at`` (rising along the order), and
+    the parts (``by``, ``_part``) with ``_n`` rows each.  The ranges follow the data: a prefix or a value that many rows share takes no larger part.
+    """
+    by = by or []
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = materialize(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    return placed, placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+
+
+def order_rank(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "rank") -> DataFrame:
+    """``df`` with its 0-based place in the order (which must tell all rows apart), over all rows or within each ``by`` group."""
+    by = by or []
+    placed, parts = place_in_order(df, order, by)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    shift = parts.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_p"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return placed.join(shift, same).withColumn(out, F.col("_at") + F.col("_shift")).select(*df.columns, out)
 
 
-def running_totals(
-    df: DataFrame, value_col: str, sums: dict[str, Column], by: list[str] | None = None,
-    cuts: list[float] | None = None,
-) -> DataFrame:
+def running_totals(df: DataFrame, value_col: str, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """Per distinct value (and ``by`` group): each sum, and its total over all smaller values.
 
-    Equal values collapse in the map-side aggregation first, so one value holding most rows costs
-    one row.  ``sums`` columns come back with ``<name>_below``.
+    Equal values collapse in the map-side aggregation first, so one value holding most rows costs one row.  What is left is
+    dealt to ranges (``_part``, rising) of the data's own order.  ``sums`` columns come back with ``<name>_below``.
     """
-    by = by or []
-    points = cuts if cuts is not None else value_cuts(df, value_col)
-    splits = [float("-inf"), *points, float("inf")]
-    grouped = df.groupBy(*by, value_col).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
-    bucketed = Bucketizer(splits=splits, inputCol=value_col, outputCol="_bucket", handleInvalid="keep").transform(
-        grouped.withColumn(value_col, F.col(value_col).cast("double"))
-    )
-    names = list(sums)
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    by, names = by or [], list(sums)
+    grouped = df.groupBy(*by, F.col(value_col).cast("double").alias(value_col)).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    placed, _ = place_in_order(grouped, [value_col], by)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(*by, "_bucket").agg(*[F.sum(n).alias(n) for n in names])
-        .select(*by, "_bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in names])
+        placed.groupBy(*by, "_part").agg(*[F.sum(n).alias(n) for n in names])
+        .select(*by, "_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in names])
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    placed = bucketed.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in names])
-    return placed.join(offsets, [*by, "_bucket"]).select(
-        *by, value_col, "_bucket", *names, *[(F.col(f"_off_{n}") + F.col(f"_in_{n}")).alias(f"{n}_below") for n in names]
+    inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    running = placed.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in names])
+    return running.join(offsets, [*by, "_part"]).select(
+        *by, value_col, "_part", *names, *[(F.col(f"_off_{n}") + F.col(f"_in_{n}")).alias(f"{n}_below") for n in names]
     )
 
 

@@ -6,6 +6,8 @@ sizes give offsets, and a row's rank is its place inside its bucket plus the off
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +21,14 @@ def hash_key(id_col: str, seed: int = SEED) -> Column:
 
 def hash_rank(
     df: DataFrame, id_col: str = "row_id", by: str | None = None, seed: int = SEED,
-    out: str = "rank", hex_digits: int = 3,
+    out: str = "rank", hex_digits: int | None = None,
 ) -> DataFrame:
     """0-based rank in hash order, over all rows or within each value of ``by``.
 
-    16**hex_digits buckets; use 4 digits beyond some 10**10 rows.
+    16**hex_digits buckets; by default at least 16 for each shuffle partition, so that they grow with what the session is set up for.
     """
+    if hex_digits is None:
+        hex_digits = max(3, math.ceil(math.log(16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)))
     by_cols = [by] if by else []
     keyed = df.withColumn("_hash", hash_key(id_col, seed)).withColumn(
         "_bucket", F.substring("_hash", 1, hex_digits)

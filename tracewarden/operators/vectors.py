@@ -152,13 +152,13 @@ def contamination_elbow(df: DataFrame, k: int = 10, vec_col: str = "embedding",
     kth = materialize(found.where(F.col("rank") == k).select(F.col("distance").alias("d")))
     n = kth.count()
     table = running_totals(kth, "d", {"n": F.lit(1)})
-    # successive distinct values: inside a bucket by `lead`, across buckets by the next bucket's minimum
-    inside = Window.partitionBy("_bucket").orderBy("d")
-    ends = table.groupBy("_bucket").agg(F.min("d").alias("_min")).select(
-        "_bucket", F.lead("_min").over(Window.orderBy("_bucket")).alias("_next_min")
+    # successive distinct values: inside a range by `lead`, across ranges by the next range's minimum
+    inside = Window.partitionBy("_part").orderBy("d")
+    ends = table.groupBy("_part").agg(F.min("d").alias("_min")).select(
+        "_part", F.lead("_min").over(Window.orderBy("_part")).alias("_next_min")  # one row per range
     )
     jumps = (
-        table.withColumn("_next", F.lead("d").over(inside)).join(ends, "_bucket")
+        table.withColumn("_next", F.lead("d").over(inside)).join(ends, "_part")
         .withColumn("jump", F.coalesce("_next", "_next_min") - F.col("d"))
         .withColumn("idx", F.col("n_below") + F.col("n") - 1)
     )
