@@ -1,5 +1,6 @@
 import logging
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -170,7 +171,7 @@ def test_labelled_run_end_to_end(spark, tmp_path):
     done = workflows.run_standard(spark, source, "hash one", settings=quick(results_dir=str(tmp_path)))
     result = done.results.first()
     assert result["acc"] == 1.0 and result["approach"] == "hash one_llm" and result["nlines"] == 60
-    assert done.retrieval.count() == 2
+    assert done.retrieval.count() == 2 and done.retrieval.first()["generation_time"] > 0
     said = {r["true_label"]: r["standard_prediction"] for r in done.reasoning.collect()}
     assert said == {0: "NORMAL", 1: "ANOMALY"}
     assert (tmp_path / "results_hash_one.json").exists() and (tmp_path / "embeddings").exists()
@@ -193,3 +194,16 @@ def test_a_failed_run_is_an_error_row(spark, caplog):
     assert got["approach"] == "m_error" and got["error"]
     assert workflows.run_unlabelled(spark, rows, "m", "nope").results.first()["approach"] == "m_unsupervised_error"
     assert workflows.run_flow_pair(spark, rows, rows, "m").results.first()["approach"] == "m_error"
+
+
+def test_flow_pair_reports_its_usage(spark):
+    rng = np.random.default_rng(5)
+
+    def flows(n):
+        return spark.createDataFrame([(i, ["tcp", "udp"][i % 2], float(rng.normal() + 4 * (i % 3 == 2)), int(i % 3 == 2)) for i in range(n)], "row_id long, proto string, dur double, label int")
+
+    now = time.time()
+    usage = spark.createDataFrame([(now + i, 10.0 + i, 2.0, 100.0) for i in range(0, 600)], "timestamp double, cpu_percent double, memory_used_gb double, total_estimated_power double")
+    got = workflows.run_flow_pair(spark, flows(60), flows(30), "m", settings=quick(reasoning=False, usage=usage)).results.where("eval_type = 'research_compliant_traditional'").first()
+    assert got["duration_seconds"] > 0 and got["cpu_usage_mean"] >= 10 and got["memory_usage_gb_mean"] == 2.0 and got["power_consumption_mean_w"] == 100.0
+    assert got["prediction_time_per_sample_us"] > 0 and got["prediction_time_per_sample_us_std"] >= 0

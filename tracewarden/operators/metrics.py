@@ -5,11 +5,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions.arrays import l2_norm
 from tracewarden.operators.ranking import IN_PLAN_LIMIT, quantiles, running_totals
+from tracewarden.session import materialize
+
+CENTROID_BLOCK = 1024
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -178,26 +183,39 @@ def davies_bouldin(df: DataFrame, cluster_col: str = "cluster_id", vec_col: str
     """Mean over clusters of the worst (spread + spread) / centroid distance.
 
     Noise (-1) is left out; null below two clusters.  Centroids come from one partial aggregation
-    over (cluster, dimension); the pairwise step is over centroids only.
+    over (cluster, dimension); they meet in pairs of blocks, so no task holds more than two blocks of them.
     """
     rows = df.where(F.col(cluster_col) != -1).select(F.col(cluster_col).alias("c"), id_col, F.col(vec_col).cast("array<double>").alias("v"))
     centroids = _centroids(rows)
-    spread = (
+    spread = materialize(
         rows.join(centroids, "c")
         .withColumn("d", _distance(F.col("v"), F.col("m")))
         .groupBy("c").agg(F.avg("d").alias("s"))
         .join(centroids, "c")
     )
-    # every centroid beside the list of all centroids: cluster-sized, not row-sized
-    all_clusters = Window.partitionBy(F.lit(0))
-    keyed = spread.select(
-        "*", F.collect_list(F.struct("c", "s", "m")).over(all_clusters).alias("others"), F.count(F.lit(1)).over(all_clusters).alias("k")
-    )
-    worst = F.array_max(F.transform(
-        F.filter("others", lambda o: o["c"] != F.col("c")),
-        lambda o: F.when(_distance(o["m"], F.col("m")) > 0, (o["s"] + F.col("s")) / _distance(o["m"], F.col("m"))).otherwise(F.lit(0.0)),
-    ))
-    return keyed.where(F.col("k") > 1).select(worst.alias("w")).agg(F.avg("w").alias("davies_bouldin_score"))
+    blocks = max(1, -(-spread.count() // CENTROID_BLOCK))
+    own = F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")
+    dealt = spread.select("c", "s", "m", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
+        "c", "s", "m", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    worst = dealt.groupBy("low", "high").applyInPandas(_worst_ratios, spread.select("c", F.col("s").alias("w")).schema)
+    return worst.groupBy("c").agg(F.max("w").alias("w")).agg(F.avg("w").alias("davies_bouldin_score"))
+
+
+def _worst_ratios(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each cluster of two blocks the greatest (spread + spread) / distance to one of the other block, or of the only block."""
+    low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+    found = []
+    for mine, theirs in {(low, high), (high, low)}:
+        a, b = pdf[pdf["own"] == mine], pdf[pdf["own"] == theirs]
+        if not len(a) or not len(b):
+            continue
+        others, names, spread = np.vstack(b["m"].to_numpy()), b["c"].to_numpy(), b["s"].to_numpy()
+        for c, s, m in zip(a["c"], a["s"], a["m"]):
+            gap = np.sqrt(((others - np.asarray(m)) ** 2).sum(axis=1))
+            ratio_ = np.divide(spread + s, gap, out=np.zeros_like(gap), where=gap > 0)[names != c]
+            if len(ratio_):
+                found.append((c, float(ratio_.max())))
+    return pd.DataFrame(found, columns=["c", "w"])
 
 
 def _centroids(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewarden.operators import clustering, dbscan, detectors, lof, metrics, one_class_svm
+from tracewarden.operators import clustering, dbscan, detectors, hdbscan, lof, metrics, one_class_svm
 from tracewarden.operators import vectors as vec
 from tracewarden.operators.neighbors import knn_join
 from tracewarden.operators.silhouette import silhouette
@@ -39,7 +39,7 @@ def nearest_neighbors_cosine(spark, sf_dir):
 def nearest_neighbors_blocked(spark, sf_dir):
     """The pruned multi-block path, forced by a small block."""
     rows = vectors(spark, sf_dir)
-    return knn_join(rows, rows, 5, block_rows=200).withColumn("distance", F.round("distance", 9))
+    return knn_join(rows, rows, 5, block_rows=200, few_queries=0).withColumn("distance", F.round("distance", 9))
 
 
 CELLS_SQL = "cells AS (SELECT row_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS j FROM vectors)"
@@ -243,6 +243,39 @@ def hdbscan_plane(spark, sf_dir):
     return labels.select("row_id", "cluster_id", F.round("score", 9).alias("score"))
 
 
+@query(f"""WITH RECURSIVE {PLANE_SQL}, {NEAR_SQL}, par AS (SELECT greatest(5, CAST(floor(count(*) * 0.01) AS INTEGER)) AS m FROM points),
+grown AS (
+  SELECT row_id AS root, [row_id] AS members, CAST(0 AS DOUBLE) AS w FROM points
+  UNION ALL
+  SELECT root, members || [b], greatest(w, d) FROM (
+    SELECT e.root, e.members, e.w, near.b, near.d, row_number() OVER (PARTITION BY e.root ORDER BY near.d, near.b) AS k
+    FROM (SELECT root, members, w, unnest(members) AS a FROM grown, par WHERE len(members) < m) e JOIN near ON near.a = e.a WHERE NOT list_contains(e.members, near.b))
+  WHERE k = 1)
+SELECT root AS row_id, round(w, 9) AS exit_distance FROM grown, par WHERE len(members) = m""")
+def hdbscan_exits(spark, sf_dir):
+    """Where each point's group first reaches the least cluster size, by blocks, Boruvka rounds and halved parts."""
+    points = materialize(clustering.plane(plane(spark, sf_dir)).select(F.col("row_id").alias("id"), "x", "y", F.lit(1).alias("w")))
+    n = points.count()
+    spanning = hdbscan.boruvka(hdbscan.candidate_edges(points.select("id", "x", "y"), n, block_points=128))
+    exits, _ = hdbscan.exits_of_tree(points.select("id", "w"), spanning, max(5, int(n * 0.01)), local_edges=200)
+    return exits.select(F.col("point").alias("row_id"), F.round("w", 9).alias("exit_distance"))
+
+
+@query()
+def hdbscan_components(spark, sf_dir):
+    """Clusters on the two leading components of the whole vectors, by the path for large tables."""
+    points = materialize(clustering.plane(vectors(spark, sf_dir)))
+    found = hdbscan.hdbscan(points, max(5, int(points.count() * 0.01)), local_points=0, block_points=512, local_edges=500)
+    return found.select("row_id", "cluster_id", F.round("outlier_score", 9).alias("score"))
+
+
+@query()
+def dbscan_components(spark, sf_dir):
+    """The same for DBSCAN, on the grid."""
+    points = materialize(clustering.plane(vectors(spark, sf_dir)))
+    return dbscan.dbscan(points, dbscan.estimate_eps(points), max(3, int(points.count() * 0.005)), local_points=0)
+
+
 CLUSTERED_SQL = """clustered AS (SELECT row_id, embedding, CASE WHEN class = 0 THEN -1 ELSE class END AS cluster_id,
   CASE WHEN class = 0 THEN 1 ELSE 0 END AS is_anomaly FROM vectors)"""
 

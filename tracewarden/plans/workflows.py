@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import logging
 import time
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.operators import clustering, detectors, inference, metrics, reasoning, retrieval, sampling, supervised, vectors
+from tracewarden.operators import clustering, detectors, inference, metrics, reasoning, retrieval, sampling, supervised, telemetry, vectors
 from tracewarden.operators.silhouette import centroid_silhouette, silhouette
 from tracewarden.session import brief, materialize, side_by_side, spread
 from tracewarden.sources import loaders, sinks
@@ -33,6 +34,7 @@ class Settings:
     classifiers: dict | None = None
     reasoning: bool = True
     silhouette: str | None = "exact"  # or "centroid", which is linear in the rows, or None
+    usage: DataFrame | None = None  # resource samples taken meanwhile: timestamp, cpu_percent, memory_used_gb, total_estimated_power
 
 
 @dataclass
@@ -48,6 +50,38 @@ class Outcome:
     clusters: DataFrame | None = None
 
 
+class OperationLog:
+    """When each operation of a run began and ended."""
+
+    def __init__(self):
+        self.spans: list[tuple[str, float, float]] = []
+
+    @contextmanager
+    def timed(self, operation: str):
+        started = time.time()
+        try:
+            yield
+        finally:
+            self.spans.append((operation, started, time.time()))
+
+    def seconds(self, operation: str) -> float:
+        return sum(end - start for name, start, end in self.spans if name == operation)
+
+    def attach(self, results: DataFrame, operation: str, usage: DataFrame | None) -> DataFrame:
+        """Mean CPU, memory and power of the samples taken during an operation, 0 without any, and its seconds."""
+        spans = [(start, end) for name, start, end in self.spans if name == operation]
+        inside = F.lit(False)
+        for start, end in spans:
+            inside = inside | F.col("timestamp").between(start, end)
+        keyed = results.withColumn("_operation", F.lit(operation))
+        if usage is None:
+            zero = {name: F.lit(0.0) for name in ("cpu_usage_mean", "memory_usage_gb_mean", "power_consumption_mean_w")}
+            return keyed.withColumns({**zero, "duration_seconds": F.lit(self.seconds(operation))}).drop("_operation")
+        measured = telemetry.operation_summary(usage.where(inside).withColumn("_operation", F.lit(operation)), ["_operation"])
+        joined = telemetry.attach_usage(keyed, measured, "_operation")
+        return joined.withColumn("duration_seconds", F.lit(self.seconds(operation))).drop("_operation")
+
+
 def reason(rows: DataFrame, dataset_type: str, settings: Settings) -> DataFrame:
     """Q1–Q6 on ``rows(row_id, line)``: every verdict and the final one."""
     ask = lambda df, out: inference.generate(df, "prompt", settings.generator, out=out)
@@ -87,7 +121,11 @@ def explain_with_context(train: DataFrame, test: DataFrame, dataset_type: str, s
     queries = test.orderBy("row_id").limit(EXAMPLES)
     hits = retrieval.search(queries, train, RETRIEVED)
     prompts = retrieval.retrieval_rows(queries, retrieval.context_text(hits, train), dataset_type)
-    return retrieval.retrieval_results(inference.generate(prompts, "prompt", settings.generator), top_k=RETRIEVED)
+    log = OperationLog()
+    with log.timed("generate"):
+        answered = materialize(inference.generate(prompts, "prompt", settings.generator))
+    each = log.seconds("generate") / max(1, answered.count())
+    return retrieval.retrieval_results(answered, top_k=RETRIEVED).withColumn("generation_time", F.lit(each))
 
 
 def _error_row(spark: SparkSession, approach: str, error: Exception, dataset_type: str, nlines: int | None) -> DataFrame:
@@ -155,7 +193,9 @@ def run_flow_pair(
     options = settings or Settings()
     kind = "unsw-nb15"
     try:
-        baseline = supervised.evaluate_flows(spark, train_source, test_source, nlines)
+        log = OperationLog()
+        with log.timed("traditional_ml"):
+            baseline = supervised.evaluate_flows(spark, train_source, test_source, nlines)
         train = loaders.load_dataset(spark, train_source, kind, nlines)
         test = loaders.load_dataset(spark, test_source, kind, nlines)
         both = sampling.union_parts(train, test)
@@ -170,6 +210,7 @@ def run_flow_pair(
                 "eval_type": F.lit("research_compliant_traditional"), "methodology": F.lit("5_fold_cv_minmax_no_pca"),
                 "dataset_type": F.lit(kind), "nlines": F.lit(nlines).cast("long"),
             })
+            rows = log.attach(rows, "traditional_ml", options.usage)
             outcome.results = rows.unionByName(outcome.results, allowMissingColumns=True)
     except Exception as error:  # noqa: BLE001
         logger.error("%s failed: %s", approach, brief(error))
