@@ -257,7 +257,7 @@ def hdbscan_exits(spark, sf_dir):
     points = materialize(clustering.plane(plane(spark, sf_dir)).select(F.col("row_id").alias("id"), "x", "y", F.lit(1).alias("w")))
     n = points.count()
     spanning = hdbscan.boruvka(hdbscan.candidate_edges(points.select("id", "x", "y"), n, block_points=128))
-    exits, _ = hdbscan.exits_of_tree(points.select("id", "w"), spanning, max(5, int(n * 0.01)), local_edges=200)
+    exits, _ = hdbscan.exits_of_tree(points.select("id", "w"), spanning, max(5, int(n * 0.01)), local_edges=300)
     return exits.select(F.col("point").alias("row_id"), F.round("w", 9).alias("exit_distance"))
 
 
