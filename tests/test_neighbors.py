@@ -141,3 +141,42 @@ def test_index_without_finished_batches_is_not_read(spark, vectors, tmp_path):
     assert vector_index.open_rows(spark, folder).count() == 25
     empty = vector_index.build(corpus.limit(0), str(tmp_path / "empty"))
     assert vector_index.search(corpus.limit(2), empty, 3).count() == 0
+
+
+def test_rows_leave_for_many_cells_in_bounded_batches():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tracewarden.operators import neighbors
+    x = np.random.default_rng(6).normal(size=(3000, 64))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(x))), "v": pa.array(list(x), pa.list_(pa.float64()))})
+    reach = SimpleNamespace(value=np.full(200, np.inf))
+    sent = seen = 0
+    for out in neighbors._send(SimpleNamespace(value=x[:200]), reach, "l2", False)([batch]):
+        assert 8 * 64 * len(out) <= neighbors.SENT_BYTES
+        sent, seen = sent + len(out), seen + sum(out.column("id").to_pylist())
+    assert sent == 200 * 3000 and seen == 200 * 3000 * 2999 // 2  # every row went to every cell
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_vectors_without_structure_go_to_few_blocks(vectors, monkeypatch, metric):
+    from tracewarden.operators import neighbors
+    tried = []
+    pivots_of = neighbors._pivots_of
+    monkeypatch.setattr(neighbors, "_pivots_of", lambda c, n, wanted, m: tried.append(wanted) or pivots_of(c, n, wanted, m))
+    x = np.random.default_rng(7).normal(size=(600, 24))
+    df = vectors(x)
+    assert rows(knn_join(df, df, 3, metric=metric, block_rows=10, few_queries=0)) == brute(x, x, 3, metric, exclude_self=True)
+    assert tried == [120, neighbors.MAX_BLOCKS]
+    tried.clear()
+    far = np.random.default_rng(8).normal(size=(600, 3)) + 1000.0 * np.arange(600)[:, None].repeat(3, 1) // 20 * 20
+    knn_join(vectors(far), vectors(far), 3, block_rows=10, few_queries=0)
+    assert tried == [120]  # the bounds hold most rows back here
+
+
+def test_block_size_is_bounded_by_bytes():
+    from tracewarden.operators import neighbors
+    assert neighbors.block_size(1_000, 64, 200, 16) == 200
+    assert neighbors.block_size(100_000, 64, 200, 16) == 6_250
+    assert neighbors.block_size(10**9, 64, 200, 16) * 64 * 8 == neighbors.BLOCK_BYTES
