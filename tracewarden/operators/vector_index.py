@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.operators.neighbors import EDGE_SCHEMA, FEW_BYTES, FEW_QUERIES, _no_edges, _stack, block_top_k, knn_join, without_copies
+from tracewarden.operators.neighbors import EDGE_SCHEMA, FEW_BYTES, FEW_QUERIES, SLICE_ROWS, _no_edges, _stack, block_top_k, knn_join, without_copies
 
 ROWS_PER_CELL, MAX_CELLS, ZERO_CELL = 20_000, 4096, -1
 MARGIN = 1e-9  # of the bounds, for rounding
@@ -88,9 +88,10 @@ def append(rows: DataFrame, folder: str, vec_col: str = "embedding") -> None:
     @F.pandas_udf("cell int, away double")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         points = _keys(_stack(vectors), metric)
-        away = _away(points, state.value) if len(state.value) else np.full((len(points), 1), 0.0)
-        cell = away.argmin(axis=1)
-        distance = away[np.arange(len(cell)), cell]
+        cell, distance = np.zeros(len(points), int), np.zeros(len(points))
+        for start in range(0, len(points) if len(state.value) else 0, SLICE_ROWS):  # a table of rows by cells at a time
+            away = _away(points[start:start + SLICE_ROWS], state.value)
+            cell[start:start + SLICE_ROWS], distance[start:start + SLICE_ROWS] = away.argmin(axis=1), away.min(axis=1)
         zero = ~points.any(axis=1) if metric == "cosine" else np.full(len(points), not len(state.value))
         return pd.DataFrame({"cell": np.where(zero, ZERO_CELL, cell).astype(np.int32), "away": np.where(zero, 0.0, distance)})
 
