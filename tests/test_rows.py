@@ -274,3 +274,10 @@ def test_codes_of_strings_with_a_common_prefix(spark):
     placed, parts = ranking.place_in_order(df.select(F.col("a").alias("value")), ["value"])
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert parts.count() == 4 and parts.agg(F.max("_n")).first()[0] < 1500
+
+
+def test_float_text_takes_the_nearest_of_equal_length(spark):
+    values = [716.77 * 1e18, 853.01 * 1e18, 272088111529.8313 * 1e7 / 3, 2639501520287.9805 * 1e7 / 3, 8.3828550096773e16, 5e-324, 2e-320, 0.1 + 0.2, 1 / 3, None]
+    got = [r[0] for r in frame(spark, values, "double").orderBy("row_id").select(text.float_text(F.col("v"))).collect()]
+    assert got == [None if v is None else repr(v) for v in values]
+    assert got[0] == "7.1677e+20"
