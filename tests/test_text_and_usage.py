@@ -207,3 +207,12 @@ def test_flow_pair_reports_its_usage(spark):
     got = workflows.run_flow_pair(spark, flows(60), flows(30), "m", settings=quick(reasoning=False, usage=usage)).results.where("eval_type = 'research_compliant_traditional'").first()
     assert got["duration_seconds"] > 0 and got["cpu_usage_mean"] >= 10 and got["memory_usage_gb_mean"] == 2.0 and got["power_consumption_mean_w"] == 100.0
     assert got["prediction_time_per_sample_us"] > 0 and got["prediction_time_per_sample_us_std"] >= 0
+
+
+def test_tfidf_vector_of_a_long_text_takes_its_length_once(spark):
+    rows = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(60_000)))], "row_id long, line string")
+    model = inference.fit_tfidf(rows)
+    started = time.time()
+    total = model.transform(rows).select(F.aggregate("embedding.values", F.lit(0.0), lambda a, x: a + x * x)).first()[0]
+    assert abs(total - 1) < 1e-9
+    assert time.time() - started < 40  # worked out for each term again, 3.6 billion steps
