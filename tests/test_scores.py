@@ -210,3 +210,18 @@ def test_score_statistics_on_the_large_path(spark, monkeypatch):
     got = metrics.score_statistics(df).first().asDict()
     assert got == pytest.approx(want)
     assert df.where(F.col("score") > 99).count() == 0
+
+
+def test_silhouette_distances_hold_for_near_rows_far_from_the_origin():
+    from tracewarden.operators.silhouette import _distances
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(40, 8)) + 1000
+    b = np.vstack([a[:20] + 1e-7 * rng.normal(size=(20, 8)), rng.normal(size=(30, 8))])
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert np.allclose(_distances(a, b), want, rtol=1e-9, atol=0)
+
+
+def test_silhouette_blocks_grow_with_the_table():
+    from tracewarden.operators import silhouette as measure
+    parts = [-(-n // measure.block_size(n, 64, measure.BLOCK_ROWS, measure.MAX_BLOCKS)) for n in (1_000, 100_000, 600_000, 1_500_000)]
+    assert parts == [1, 24, 24, 24]
