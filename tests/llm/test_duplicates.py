@@ -204,3 +204,26 @@ def test_signatures_by_hand():
             inside = [t for t in "abcde" if lexicon.depths[t][s] >= each]
             want = hashlib.blake2b(" ".join(inside).encode(), digest_size=3).hexdigest() if inside else "------"
             assert part.split(":")[1][6 * s:6 * s + 6] == want
+
+
+def test_runs_are_hashed_in_small_chunks_and_freed_memory_is_given_back(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tracewarden.llm import common, suffix_dedup
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(1)
+
+    text = np.random.default_rng(9).integers(97, 123, 10_000).astype(np.uint8).tobytes()
+    batch = pa.record_batch([pa.array(range(100)), pa.array(range(100)), pa.array([text] * 100, pa.binary())], ["place", "check", "bytes"])
+    with monkeypatch.context() as patched:
+        patched.setattr(common.pa, "default_memory_pool", Pool)
+        parts = list(suffix_dedup._runs(200, suffix_dedup.WINDOW)([batch]))
+    assert released  # also in a worker that kept nothing
+    assert len(parts) >= len(text) * 100 // suffix_dedup.RUN_BYTES
+    whole = suffix_dedup.key_runs([text] * 100, 200, suffix_dedup.WINDOW)
+    assert np.array_equal(np.concatenate([p.column(0).to_numpy() for p in parts]), whole[3])
+    assert np.array_equal(np.concatenate([p.column(3).to_numpy() for p in parts]), whole[1])

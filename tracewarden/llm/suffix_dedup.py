@@ -35,6 +35,7 @@ from tracewarden.session import discard
 
 LENGTH, WINDOW = 200, 32  # bytes of a repeated string, bytes of a hashed window inside it
 SHARD_BYTES, KEY_LIMIT, KEY_BYTES = 4 << 20, 15_000, 16 << 20
+RUN_BYTES = 1 << 18  # text whose windows are hashed at once: some hundred bytes of work arrays for each of its bytes
 MULTIPLIER = 0xD6E8FEB86659FD93
 CUT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_spans", T.LongType())])
 
@@ -106,7 +107,7 @@ def _runs(length: int, window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
         for batch in batches:
-            for part in rows_in_chunks([batch], 1 << 20):
+            for part in rows_in_chunks([batch], RUN_BYTES):
                 texts = part.column(2).to_pylist()
                 number, start, starts, key, hint = key_runs(texts, length, window)
                 which = pa.array(number)
