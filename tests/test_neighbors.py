@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import vector_index
+from tracewarden.operators import neighbors, vector_index
 from tracewarden.operators.lof import local_outlier_factor
 from tracewarden.operators.neighbors import knn_join
 
@@ -180,3 +180,23 @@ def test_block_size_is_bounded_by_bytes():
     assert neighbors.block_size(1_000, 64, 200, 16) == 200
     assert neighbors.block_size(100_000, 64, 200, 16) == 6_250
     assert neighbors.block_size(10**9, 64, 200, 16) * 64 * 8 == neighbors.BLOCK_BYTES
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_block_is_searched_by_slices_of_the_corpus(monkeypatch, metric):
+    monkeypatch.setattr(neighbors, "CORPUS_SLICE", 16)
+    monkeypatch.setattr(neighbors, "QUERY_SLICE", 8)
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 3, (150, 3)).astype(float)  # many ties and copies, zero vectors too
+    points[:40] += 1e6
+    ids = rng.permutation(150)
+    seen = []
+    partition = np.partition
+    monkeypatch.setattr(neighbors.np, "partition", lambda a, *rest, **more: seen.append(a.shape) or partition(a, *rest, **more))
+    got = neighbors.block_top_k(ids, points, ids, points, 5, metric, True)
+    for i, own in enumerate(ids):
+        distance = neighbors.exact_distances(np.repeat(points[i:i + 1], 150, axis=0), points, metric)
+        want = [(int(o), d) for d, o in sorted(zip(distance, ids)) if o != own][:5]
+        mine = got[got["query_id"] == own].sort_values("rank")
+        assert list(zip(mine["neighbor_id"], mine["distance"])) == want
+    assert max(rows * columns for rows, columns in seen) <= 8 * 16  # only a slice is put in order, not queries x corpus
