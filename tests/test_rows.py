@@ -281,3 +281,13 @@ def test_float_text_takes_the_nearest_of_equal_length(spark):
     got = [r[0] for r in frame(spark, values, "double").orderBy("row_id").select(text.float_text(F.col("v"))).collect()]
     assert got == [None if v is None else repr(v) for v in values]
     assert got[0] == "7.1677e+20"
+
+
+def test_enriched_lines_do_not_travel_with_their_tokens(spark, capsys):
+    lines = spark.range(20).select(F.col("id").alias("row_id"), F.concat(F.lit("E1 E2 "), F.col("id").cast("string")).alias("line"))
+    known = spark.createDataFrame([("E1", "open")], "EventId string, EventTemplate string")
+    done = encoding.enrich_tokens(lines, "line", known, map_limit=0)
+    assert {(r.row_id, r.line) for r in done.collect()} == {(i, f"open E2 {i}") for i in range(20)}
+    done.explain("formatted")
+    sent = [part for part in capsys.readouterr().out.split("\n\n") if ") Exchange" in part]
+    assert sent and not [part for part in sent if "line#" in part]
