@@ -225,3 +225,31 @@ def test_silhouette_blocks_grow_with_the_table():
     from tracewarden.operators import silhouette as measure
     parts = [-(-n // measure.block_size(n, 64, measure.BLOCK_ROWS, measure.MAX_BLOCKS)) for n in (1_000, 100_000, 600_000, 1_500_000)]
     assert parts == [1, 24, 24, 24]
+
+
+def test_rows_travel_to_trees_packed(spark):
+    """One value for each node and chunk of rows, in place of one row for each row and tree; rows may share an id."""
+    rng = np.random.default_rng(5)
+    x, y, fold = rng.normal(size=(400, 4)), rng.integers(0, 2, 400), np.arange(400) % 2
+    df = spark.createDataFrame([(i // 2, x[i].tolist(), int(y[i]), int(fold[i])) for i in range(400)], "row_id long, features array<double>, label int, fold int").coalesce(1)
+    data = df.withColumn("number", F.monotonically_increasing_id())
+    for task_rows in (1000, 50):
+        upper = extra_trees.UpperNodes(np.zeros(6, int), extra_trees.root_of(np.arange(6), 1), np.tile(np.bincount(y[fold == 1], minlength=2).astype(float), (6, 1)))
+        extra_trees.grow_upper(data.select("features", "label", "fold"), upper, 4, 2, task_rows)
+        sent = extra_trees._dealt(data, upper, 0 if upper.levels else 3).collect()
+        assert len(sent) == len({r.group for r in sent})
+        rows = sum(len(r.rows) for r in sent) // (7 * 8)
+        assert 6 * 300 < rows <= 6 * 400 if upper.levels else rows == 3 * 400
+        got = extra_trees.out_of_fold(df, 2, 2, trees=6, task_rows=task_rows).collect()
+        assert sorted((r.row_id, r.fold) for r in got) == sorted((i // 2, int(fold[i])) for i in range(400))
+
+
+def test_nothing_is_grown_below_nodes_without_held_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.random((4000, 3)), rng.integers(0, 2, 4000)
+    tried, candidates = [], extra_trees.candidates
+    monkeypatch.setattr(extra_trees, "candidates", lambda node, *rest: tried.append(len(node)) or candidates(node, *rest))
+    few = extra_trees.finish(x, y, x[:3] + 1e-3, np.uint64(7), np.ones(2), 1)
+    assert max(tried) <= 3
+    many = extra_trees.finish(x, y, np.concatenate([x[:3] + 1e-3, rng.random((4000, 3))]), np.uint64(7), np.ones(2), 1)
+    assert np.array_equal(few, many[:3])
