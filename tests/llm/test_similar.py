@@ -71,3 +71,14 @@ def test_stage_on_the_given_documents(spark):
     want, _ = slow_groups([t for _, t in rows])
     got = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert sorted(r.doc_id for r in got.collect()) == [rows[i][0] for i in sorted(set(want))]
+
+
+def test_links_that_are_stars_need_no_round(spark, monkeypatch):
+    stored, store = [], simhash.store
+    monkeypatch.setattr(simhash, "store", lambda df: stored.append(1) or store(df))
+    edges = lambda *pairs: spark.createDataFrame(pairs, "a long, b long")
+    got = {(r.node, r.root) for r in simhash.components(edges((1, 2), (3, 1), (9, 8), (1, 2), (5, 5))).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)} and len(stored) == 1
+    chain = {(r.node, r.root) for r in simhash.components(edges(*((i, i + 1) for i in range(20)))).collect()}
+    assert chain == {(i, 0) for i in range(21)}
+    assert not simhash.components(edges((4, 4))).collect()

@@ -229,6 +229,14 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROU
     return grouped.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars(max_bits), "a long, b long")
 
 
+def _are_stars(links_: DataFrame) -> bool:
+    """Whether every link (u, v), v the smaller node, leads to a root: no node has two of them, and none that is led to has any."""
+    ends = links_.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        links_.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    either = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return either.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (a, b): the smallest node that its links reach.
 
@@ -236,20 +244,15 @@ def components(edges: DataFrame) -> DataFrame:
     smaller neighbours among themselves to the smallest.  Every round is written out, and the one before dropped.
     """
     links_ = store(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    sign = None
-    while True:
+    while not _are_stars(links_):
         both = links_.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(links_.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         fresh = store(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
-        now = fresh.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("v", "u"))).first()
         discard(links_)
         links_ = fresh
-        if now == sign:
-            break
-        sign = now
     # each link now leads to a root
     return links_.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         links_.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
