@@ -110,6 +110,27 @@ def test_one_bad_row_does_not_spoil_its_batch(spark):
     assert said == {0: "FINE", 1: "[Error: bad prompt]", 2: "GOOD"}
 
 
+class Measured(inference.Backend):
+    """Vectors of the characters that came in one call."""
+
+    def embed(self, texts):
+        return np.full((len(texts), 1), float(sum(map(len, texts))))
+
+
+def test_long_texts_reach_a_backend_in_slices_of_bounded_size(spark):
+    rows = spark.range(64).repartition(1).selectExpr("id AS row_id", "repeat('x', 100000) AS line")
+    got = inference.embed(rows, backend=Measured).select("row_id", "embedding").collect()
+    assert len(got) == 64 and max(r["embedding"][0] for r in got) <= inference.SLICE_BYTES + 100_000
+
+
+def test_hashing_backend_forgets_tokens_and_gives_the_same(monkeypatch):
+    lines = [f"t{i} t{i % 7} t{i}" for i in range(50)] + [" ".join(f"t{i % 30}" for i in range(500))]
+    whole = inference.HashingBackend(16).embed(lines)
+    monkeypatch.setattr(inference, "KEPT_TOKENS", 5)
+    monkeypatch.setattr(inference, "TOKENS_AT_ONCE", 3)
+    assert (inference.HashingBackend(16).embed(lines) == whole).all()
+
+
 def test_fallback_chain(spark):
     got = {r["row_id"]: (len(r["embedding"]), r["backend_attempt"], r["fallback_used"]) for r in inference.embed_with_fallback(texts(spark), "line", [Fragile, "hashing"]).collect()}
     assert got == {0: (2, 1, False), 1: (64, 2, True), 2: (2, 1, False)}
