@@ -148,3 +148,13 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_repeats_are_cut_and_decoded_in_one_worker(spark):
+    from tracewarden.llm import suffix_dedup
+
+    shared = "\u00e4b" * 150
+    docs = spark.createDataFrame([(1, "one " + shared, 0), (2, "two " + shared + " end", 0), (3, None, 0)], "doc_id long, text string, n_chars long")
+    done = suffix_dedup.clean(docs)
+    assert [tuple(r) for r in done.orderBy("doc_id").collect()] == [(1, "one", 3), (2, "two end", 7), (3, None, None)]
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1

@@ -16,9 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.llm.common import give_back
 from tracewarden.llm.word_bpe import encoder
 
 GROUP_DOCS, GROUP_TOKENS = 4096, 6_000_000
+SENT_PIECES = 256  # pieces of at most one sequence that leave a task at once
 LADDER_FILL = 0.97  # a sequence filled less than this is cut into powers of two
 
 
@@ -107,8 +109,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096,
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal first
             pieces = pack_group([len(t) // 4 for t in tokens], length)
-            for at in range(0, len(pieces), 2048):
-                part = pieces[at:at + 2048]
+            for at in range(0, len(pieces), SENT_PIECES):
+                part = pieces[at:at + SENT_PIECES]
                 yield pa.record_batch([
                     pa.array([ids[i] for i, *_ in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()),
                     pa.array([p[2] for p in part], pa.int64()), pa.array([tokens[i][4 * s:4 * (s + n)] for i, s, n, *_ in part], pa.binary()),
@@ -125,6 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 4096,
                 if len(ids) >= GROUP_DOCS or size >= GROUP_TOKENS:
                     yield from close()
                     ids, tokens, size = [], [], 0
+                    give_back()
         if ids:
             yield from close()
 

@@ -324,27 +324,31 @@ def remove_repeats(
     included.  Null texts count as empty; rows with a null doc_id take part; rows that are wholly equal are copies of each
     other.  An empty table stays empty.
     """
-    spans = repeated_spans(docs, length, window, shard_bytes, key_limit, key_bytes)
     own = [c for c in docs.columns if c not in {"kept", "n_bytes", "n_removed", "n_spans"}]
-    keyed = _keyed(docs.select(*own))
-    found = spans.select(F.col("place").alias("_place"), F.col("check").alias("_check"), F.col("spans").alias("_spans"))
-    done = keyed.join(found, ["_place", "_check"], "left").withColumn("_cut", cut_out("_bytes", "_spans"))
+    done = _with_spans(docs.select(*own), repeated_spans(docs, length, window, shard_bytes, key_limit, key_bytes)).withColumn("_cut", cut_out("_bytes", "_spans"))
     return done.select(
         *own, F.col("_cut.kept").alias("kept"), F.octet_length("_bytes").cast("long").alias("n_bytes"),
         (F.octet_length("_bytes") - F.octet_length("_cut.kept")).cast("long").alias("n_removed"), F.col("_cut.n_spans").alias("n_spans"))
 
 
+def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    found = spans.select(F.col("place").alias("_place"), F.col("check").alias("_check"), F.col("spans").alias("_spans"))
+    return _keyed(docs).join(found, ["_place", "_check"], "left")
+
+
 def clean(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text`` and ``n_chars`` counted anew; the columns stay the same.
 
     A character of which only some bytes remain is dropped.
     """
-    done = remove_repeats(docs, **options)
-    text = F.when(F.col("text").isNotNull(), _readable("kept"))
+    done = _with_spans(docs, repeated_spans(docs, **options)).withColumn("_text", cut_text("_bytes", "_spans"))
+    text = F.when(F.col("text").isNotNull(), F.col("_text"))
     columns = {"text": text, "n_chars": F.length(text).cast("long")}
     return done.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 @F.pandas_udf(T.StringType())
-def _readable(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: b.decode("utf-8", "ignore"))
+def cut_text(data: pd.Series, spans: pd.Series) -> pd.Series:
+    """The text outside the spans, cut and decoded in one worker; what the batch before has left is given back first."""
+    forget_kept()
+    return cut_out.func(data, spans)["kept"].map(lambda b: b.decode("utf-8", "ignore"))
