@@ -44,6 +44,26 @@ def test_other_rules_go_through_the_whole_encoder(tmp_path):
         assert words.encode(text) == words.whole(text or "")
 
 
+def test_marks_after_letters_are_encoded_once_for_all_words(monkeypatch):
+    words, calls = WordIds(vocabulary_path()), []
+    whole = words.whole
+    monkeypatch.setattr(words, "whole", lambda text: calls.append(text) or whole(text))
+    text = " ".join(f"{stem}{marks}" for marks in ("&&&", "!!", ".%%%", "_", ",***", "|>", "\\") for stem in ("Fox", "ÜBER", "ΟΔΟΣ", "中文"))
+    assert words.encode(text) == whole(text)
+    assert sorted(calls) == sorted({"&&&", "!!", ".%%%", "_", ",***", "|>", "\\"})
+    for odd in ("İs!!", "e\u0301&&", "fox&&'s", "fox'&&", "fox'", "a''b!", "9!!", "x9!!", "'ll!!", "<|endoftext|>!!", "fox<|endoftext|>", "fox\u0301!", "!!\u0301"):
+        assert words.encode(odd) == whole(odd), odd
+
+
+def test_added_tokens_of_letters_go_through_the_whole_encoder(tmp_path):
+    rules = json.loads(open(vocabulary_path(), encoding="utf-8").read())
+    rules["added_tokens"].append({"id": 49_408, "content": "fox&", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = tmp_path / "letters.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    words = WordIds(str(path))
+    assert not words.by_word and words.encode("a fox&& runs") == words.whole("a fox&& runs")
+
+
 def test_large_ids_are_stored_whole(spark, tmp_path):
     rules = json.loads(open(vocabulary_path(), encoding="utf-8").read())
     rules["added_tokens"].append({"id": 70_000, "content": "<|far|>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})

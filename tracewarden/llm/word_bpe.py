@@ -1,8 +1,8 @@
 """Token ids of whole texts from a word-level BPE file of the tokenizers library.
 
 The file's rules make every run of non-space characters independent of its neighbours, so ids are kept per word and
-a text costs one look-up for each of its words.  Words of letters go straight to the file's merge model; anything else,
-and any text with separators that Python and the file's rules see differently, goes through the whole encoder.
+a text costs one look-up for each of its words.  Words of letters go straight to the file's merge model, also if marks
+follow, whose ids are kept apart (an apostrophe may start a piece with letters and is none of them); anything else, and any text with separators that Python and the file's rules see differently, goes through the whole encoder.
 
 That holds for files with the rules below only.  With any other file every text goes through the whole encoder.
 """
@@ -12,14 +12,17 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
 from tracewarden.llm.common import kept_in_worker
 
 MAX_WORDS = 700_000  # words whose ids a worker keeps; after that it starts afresh
-CONTROL_SPACE = re.compile("[\x1c-\x1f]")
+CONTROL_SPACE = "\x1c\x1d\x1e\x1f"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # The rules of a vocabulary file under which words can be encoded one by one.
 WORD_RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -34,7 +37,9 @@ WORD_RULES = {
 def follows_word_rules(path: str) -> bool:
     with open(path, encoding="utf-8") as file:
         rules = json.load(file)
-    added = all(not t.get("single_word") and not t.get("normalized") and not re.search(r"\s", t["content"]) for t in rules.get("added_tokens", []))
+    added = all(
+        not t.get("single_word") and not t.get("normalized") and not re.search(r"\s", t["content"]) and not t["content"][:1].isalpha()
+        for t in rules.get("added_tokens", []))
     return added and rules.get("model", {}).get("type") == "BPE" and all(rules.get(name) == value for name, value in WORD_RULES.items())
 
 
@@ -45,6 +50,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+def _lower(text: str) -> str:
+    """Character by character, as the file's rules do it: ``str.lower`` looks at what surrounds a capital sigma."""
+    return text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
+
+
 class WordIds(dict):
     """Word to its ids as little-endian unsigned 32-bit integers, filled on demand."""
 
@@ -70,18 +87,18 @@ class WordIds(dict):
         ids = self.stems.get(stem)
         if ids is None:
             word = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
-            ids = self.stems[stem] = np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
+            ids = self.stems[stem] = _packed([t.id for t in self.model.tokenize(word)])
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        stem = word[:-1] if word[-1] in ".," else word
+        stem = word.rstrip(MARKS)
         ids = None
         if stem.isalpha():
-            plain = stem.lower() if stem.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", stem))
+            plain = stem.lower() if stem.isascii() else _lower(unicodedata.normalize("NFC", stem))
             if plain.isalpha():
                 ids = self._stem(plain)
                 if len(stem) < len(word):
-                    ids += self[word[-1]]
+                    ids += self[word[len(stem):]]
         if ids is None:
             ids = self.whole(word)
         self[word] = ids
@@ -90,7 +107,7 @@ class WordIds(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word or CONTROL_SPACE.search(text):
+        if not self.by_word or any(c in text for c in CONTROL_SPACE):
             return self.whole(text)
         if len(self) > MAX_WORDS:
             self.clear()
