@@ -82,3 +82,35 @@ def test_links_that_are_stars_need_no_round(spark, monkeypatch):
     chain = {(r.node, r.root) for r in simhash.components(edges(*((i, i + 1) for i in range(20)))).collect()}
     assert chain == {(i, 0) for i in range(21)}
     assert not simhash.components(edges((4, 4))).collect()
+
+
+def test_groups_hand_on_few_pairs_that_are_no_links(spark, monkeypatch):
+    monkeypatch.setattr(similar, "STAR_ROUNDS", 0)
+    tried, confirmed = [], similar._confirmed
+    monkeypatch.setattr(similar, "_confirmed", lambda pairs, sets: tried.append(pairs.count()) or confirmed(pairs, sets))
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage, texts = rng.choices(words, k=120), []
+    for _ in range(150):  # copies of one passage, too far apart to be linked but for the pairs made here
+        copy = list(passage)
+        for at in rng.sample(range(120), 5):
+            copy[at] = rng.choice(words)
+        texts += [" ".join(copy), " ".join([*copy[:119], rng.choice(words)])]
+    want, linked = slow_groups(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == sorted(set(want))
+    assert linked >= 150 and linked <= sum(tried) <= 2 * linked + 100
+
+
+def test_counts_differ_no_more_than_the_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 40, 3000, 200_000):
+        hashes = np.unique(rng.integers(0, 1 << 63, n + n // 8 + 1, np.uint64))
+        one, other = hashes[:n], hashes[len(hashes) - n:]
+        gap = np.abs(similar.cell_counts(one).astype(int) - similar.cell_counts(other)).sum()
+        assert gap <= len(np.setxor1d(one, other))
+    few = np.arange(1, 400, dtype=np.uint64) << np.uint64(1)
+    counts = np.stack([similar.cell_counts(few[a:b]) for a, b in ((0, 100), (0, 80), (0, 79), (150, 250))])
+    sizes = np.array([100, 80, 79, 100], np.int32)
+    allowed = similar._counts_allow(counts, sizes, np.zeros(3, int), np.arange(1, 4))
+    assert allowed.tolist() == [True, False, False]
