@@ -84,6 +84,17 @@ def test_classifiers_on_separable_data(vectors):
         assert r["accuracy_mean"] > 0.95 and r["roc_auc_mean"] > 0.95 and len(r["f1_scores"]) == 5 and r["error"] is None
 
 
+def test_forest_keeps_nodes_between_levels_and_grows_the_same_trees(vectors):
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(2)
+    data = vectors(rng.normal(size=(200, 3)), label=rng.integers(0, 2, 200)).select(
+        array_to_vector("embedding").alias("_vec"), "label", F.lit(1.0).alias("weight"))
+    forest = supervised.random_forest(200.0).setNumTrees(5)
+    assert forest.getCacheNodeIds()
+    trees = lambda f: f.fit(data).toDebugString.split("\n", 1)[1]  # noqa: E731 - the first line has the model's own id
+    assert trees(forest) == trees(supervised.random_forest(200.0).setNumTrees(5).setCacheNodeIds(False))
+
+
 def test_a_failing_classifier_leaves_an_error_row(vectors):
     def broken(weight_sum):
         raise RuntimeError("cannot fit")
