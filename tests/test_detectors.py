@@ -61,6 +61,23 @@ def test_all_detectors_failing(vectors, monkeypatch):
         detectors.run_detectors(vectors(np.eye(3)))
 
 
+@pytest.mark.parametrize("error", [RuntimeError("lost"), ValueError("lost")])
+def test_a_failing_detector_does_not_look_like_a_vote(vectors, monkeypatch, error):
+    def broken(df, contamination, vec_col):
+        raise error
+    monkeypatch.setitem(detectors.SCORERS, "LocalOutlierFactor", broken)
+    with pytest.raises(RuntimeError, match="LocalOutlierFactor failed: .*lost"):
+        detectors.detect_anomalies(vectors(planted(2, n=60)), 0.1)
+
+
+def test_the_whole_ensemble_wants_every_detector(vectors):
+    few = vectors(planted(2, n=60, d=80))  # too few rows for the envelope
+    with pytest.raises(envelope.NotApplicable):
+        detectors.detect_anomalies(few, 0.1, whole=True)
+    votes, _ = detectors.detect_anomalies(vectors(planted(2, n=60)), 0.1, whole=True)
+    assert {r["method"] for r in votes.select("method").distinct().collect()} == set(detectors.SCORERS)
+
+
 def test_unknown_method_and_empty_input(vectors, spark):
     with pytest.raises(ValueError):
         detectors.detect(vectors(np.eye(3)), "nope")
