@@ -150,6 +150,12 @@ def test_pipeline_of_nothing(spark):
         assert out.count() == 0
 
 
+def test_stage_runs_in_a_session_that_has_run_the_query(spark):
+    docs = spark.createDataFrame([(1, "c" * 300), (2, "d" + "c" * 300)], "doc_id long, text string")
+    assert suffix_dedup.remove_repeats(docs).agg(F.sum("n_removed")).first()[0] == 600
+    assert sorted(r.text for r in suffix_dedup.clean(docs).collect()) == ["", "d"]
+
+
 def test_repeats_are_cut_and_decoded_in_one_worker(spark):
     from tracewarden.llm import suffix_dedup
 

@@ -296,8 +296,7 @@ def repeated_spans(
     return result
 
 
-@F.pandas_udf(CUT)
-def cut_out(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
+def _outside(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
     """The bytes outside the spans, and how many separate runs they cover."""
     kept, n = [], []
     for text, flat in zip(data, spans):
@@ -315,6 +314,11 @@ def cut_out(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kept": kept, "n_spans": n})
 
 
+@F.pandas_udf(CUT)
+def cut_out(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    return _outside(data, spans)
+
+
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, key_limit: int = KEY_LIMIT, key_bytes: int = KEY_BYTES,
 ) -> DataFrame:
@@ -351,4 +355,4 @@ def clean(docs: DataFrame, **options) -> DataFrame:
 def cut_text(data: pd.Series, spans: pd.Series) -> pd.Series:
     """The text outside the spans, cut and decoded in one worker; what the batch before has left is given back first."""
     forget_kept()
-    return cut_out.func(data, spans)["kept"].map(lambda b: b.decode("utf-8", "ignore"))
+    return _outside(data, spans)["kept"].map(lambda b: b.decode("utf-8", "ignore"))
