@@ -64,6 +64,40 @@ def test_distance_is_wide_enough():
         assert max(away) <= similar.WIDE_BITS
 
 
+def test_no_link_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(similar, "WIDE_BITS", 0)  # as if all fingerprints were far apart
+    texts = []
+    for seed in (159, 5460):  # pairs at exactly 0.8 that bands of least hashes do not bring together
+        words = [f"w{(seed * 131 + i * i * 7 + i * seed) % 100003}" for i in range(14)]
+        texts += [" ".join(words[:12]), " ".join(words)]
+    rng = random.Random(5)
+    for n in (10, 30, 200):
+        for _ in range(20):
+            words = [f"x{rng.randrange(10**6)}" for _ in range(n + 4)]
+            texts += [" ".join(words[:int(0.8 * n) + 4]), " ".join(words)]
+    want, linked = slow_groups(texts)
+    assert linked >= 42
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == sorted(set(want))
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(3)
+    for n in (*range(1, 30), 100, 333):
+        for _ in range(20):
+            pool = np.unique(rng.integers(0, 1 << 63, 3 * n + 5, np.uint64))
+            rng.shuffle(pool)
+            m = rng.integers(n, int(n / similar.LIKENESS + 1e-9) + 1)
+            both = int(np.ceil(similar.LIKENESS * (n + m) / (1 + similar.LIKENESS) - 1e-9))
+            if both > n:
+                continue
+            one, other = np.sort(pool[:n]), np.sort(pool[n - both:n - both + m])
+            known = np.sort(rng.choice(pool, len(pool) // 2, replace=False))
+            for common in ((known[:0], known[:0]), (known, rng.integers(1, 9, len(known)))):
+                keys = [similar.prefix_keys(x, common) for x in (one, other)]
+                assert len(np.intersect1d(*keys)) and len(keys[0]) == n - int(np.ceil(0.8 * n - 1e-9)) + 1
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not here")
 def test_stage_on_the_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
