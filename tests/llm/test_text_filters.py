@@ -70,6 +70,25 @@ def test_classifier_with_awkward_rows(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_training_takes_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 1 << 17)
+    rng = np.random.default_rng(6)
+    words, rows = np.array([f"w{i}" for i in range(300)]), []
+    for i in range(4000):  # each of many toxic words is in a few documents
+        body = list(rng.choice(words, rng.integers(5, 30)))
+        if i % 4 == 0:
+            k = (i // 4) % 60
+            body.insert(int(rng.integers(0, len(body))), f"{zlib.crc32(str(k).encode()):08x}bad")
+        rows.append((i, " ".join(body), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    out = toxicity.classify(docs, labels, sample_docs=240).toPandas()
+    held = out[out.held_out].sort_values("doc_id")
+    assert np.mean(held.predicted == (held.doc_id % 4 == 0)) > 0.97
+    again = toxicity.classify(docs.repartition(5), labels, sample_docs=240).toPandas()
+    assert again.sort_values("doc_id").score.tolist() == out.sort_values("doc_id").score.tolist()
+
+
 def test_long_text_scores_like_its_windows():
     rng = np.random.default_rng(3)
     texts = [toxicity.features(t) for _, t, _ in toy_texts(200, 4)]
